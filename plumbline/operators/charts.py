@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import is_missing, named, number, numeric_columns
 from plumbline.operators.summaries import top_values
-from plumbline.plans.quantiles import exact_quantiles, quantiles
+from plumbline.plans.quantiles import group_quantiles, quantiles
 from plumbline.plans.stats import one_row_per, table_stats
 from plumbline.sources.tables import hash_sample
 
@@ -234,8 +234,7 @@ def violin_data(
         .select(named(category).alias("category"), number(df, value).alias("v"))
         .where(F.col("v").isNotNull())
     )
-    split = rows.select(*(F.when(F.col("category") == t, F.col("v")).alias(f"c{i}") for i, t in enumerate(top)))
-    quartiles = exact_quantiles(split, split.columns, [0.25, 0.5, 0.75])
+    quartiles = group_quantiles(rows, "category", top, "v", [0.25, 0.5, 0.75])
     # One row for each of at most top_n categories: safe to broadcast.
     shapes = F.broadcast(rows.groupBy("category").agg(*(e.alias(n) for n, e in _shape(F.col("v")).items())))
     points = (
@@ -248,7 +247,7 @@ def violin_data(
     def quartile(at: int) -> Column:
         pick = F.lit(None).cast("double")
         for i, t in enumerate(top):
-            found = quartiles[f"c{i}"]
+            found = quartiles[i]
             pick = F.when(F.col("category") == t, F.lit(found[at] if found else None)).otherwise(pick)
         return pick
 

@@ -71,7 +71,7 @@ def label_index(train: DataFrame, column: str) -> DataFrame:
         .groupBy(named(column).alias(VALUE))
         .agg((-F.count(F.lit(1))).alias("__rarity"))
     )
-    ranked = running_totals(counted, ["__rarity", VALUE], {"__position": F.lit(1)})
+    ranked = running_totals(fitted(counted), ["__rarity", VALUE], {"__position": F.lit(1)})
     return fitted(ranked.select(VALUE, (F.col("__position") - 1).cast("double").alias("__index")))
 
 

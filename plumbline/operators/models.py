@@ -74,7 +74,10 @@ def available_models(task: str) -> list[str]:
 
 @contextmanager
 def _kept(df: DataFrame):
-    """Keep a table that iterative training reads many times, and free it afterwards."""
+    """Keep a narrow table that several passes read, and free it unless it was kept before."""
+    if df.storageLevel != StorageLevel.NONE:
+        yield df
+        return
     df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield df
@@ -82,6 +85,12 @@ def _kept(df: DataFrame):
         df.unpersist()
 
 
+def _used(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
+    """The columns a model reads, of the rows that have a target."""
+    names = dict.fromkeys([*features, target])
+    return df.select(*(named(c) for c in names)).where(named(target).isNotNull())
+
+
 def _encoders(df: DataFrame, features: Sequence[str]) -> tuple[list[Estimator], list[str]]:
     """Indexer and one-hot stages for the text features, and the columns to assemble."""
     texts = [c for c in features if c in categorical_columns(df)]
@@ -117,12 +126,12 @@ def fit_classifier(
     encoders, inputs = _encoders(train, features)
     label = f"{target}_idx"
     gather = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid=handle_invalid)
-    stages, data = _prepare(train, [*encoders, gather])
-    index = target_indexer(train, target, label).fit(data)
-    data = index.transform(data)
     estimator = CLASSIFIERS[name](task).setLabelCol(label).setFeaturesCol("features")
-    with _kept(data.select("features", label)) as ready:
-        model = estimator.fit(ready)
+    with _kept(_used(train, features, target)) as rows:
+        stages, data = _prepare(rows, [*encoders, gather])
+        index = target_indexer(train, target, label).fit(data)
+        # The learners keep their own compact copy for the iterations.
+        model = estimator.fit(index.transform(data).select("features", label))
     decode = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=index.labels)
     return PipelineModel([*stages, model, decode])
 
@@ -135,23 +144,23 @@ def fit_regressor(
     ensure_checkpoint_dir(train.sparkSession)
     estimator = REGRESSORS[name]().setLabelCol(target).setFeaturesCol("features")
     encoders, inputs = _encoders(train, features)
+    gather = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid=handle_invalid)
+    rows = _used(train, features, target)
     if isinstance(estimator, IsotonicRegression):
         if len(features) != 1:
             raise ValueError("isotonic regression takes exactly one feature")
         # Equal feature values pool into one weighted point anyway: merge them first.
         x, y = number(train, features[0]), number(train, target)
-        train = (
-            train.select(x.alias(features[0]), y.alias(target))
+        rows = (
+            rows.select(x.alias(features[0]), y.alias(target))
             .dropna()
             .groupBy(named(features[0]))
             .agg(F.avg(named(target)).alias(target), F.count(F.lit(1)).cast("double").alias("weight"))
         )
         estimator = estimator.setWeightCol("weight")
-    gather = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid=handle_invalid)
-    stages, data = _prepare(train, [*encoders, gather])
-    used = [c for c in ("features", target, "weight") if c in data.columns]
-    with _kept(data.select(*(named(c) for c in used)).where(named(target).isNotNull())) as ready:
-        model = estimator.fit(ready)
+    with _kept(rows):
+        stages, data = _prepare(rows, [*encoders, gather])
+        model = estimator.fit(data)
     return PipelineModel([*stages, model])
 
 
@@ -204,9 +213,10 @@ def compare_classifiers(
 
     def attempt(name: str) -> tuple[PipelineModel, DataFrame]:
         model = fit_classifier(name, train, features, target, task)
-        return model, evaluate_classifier(model, test, target, task)
+        return model, evaluate_classifier(model, held_out, target, task)
 
-    return _collect_results(train.sparkSession, names, attempt)
+    with _kept(_used(train, features, target)), _kept(_used(test, features, target)) as held_out:
+        return _collect_results(train.sparkSession, names, attempt)
 
 
 def compare_regressors(
@@ -214,9 +224,10 @@ def compare_regressors(
 ) -> tuple[dict[str, PipelineModel], DataFrame]:
     def attempt(name: str) -> tuple[PipelineModel, DataFrame]:
         model = fit_regressor(name, train, features, target)
-        return model, evaluate_regressor(model, test, target)
+        return model, evaluate_regressor(model, held_out, target)
 
-    return _collect_results(train.sparkSession, names, attempt)
+    with _kept(_used(train, features, target)), _kept(_used(test, features, target)) as held_out:
+        return _collect_results(train.sparkSession, names, attempt)
 
 
 LOWER_IS_BETTER = ("RMSE", "MAE", "MSE")

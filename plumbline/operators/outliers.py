@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.columns import named, number
 from plumbline.plans.quantiles import quantiles
@@ -66,11 +67,17 @@ def fence(
 def detect(df: DataFrame, column: str, method: str = "iqr", **options: float) -> DataFrame:
     """The outlying rows. Rows with no value, or a column without spread, have none."""
     limits = fence(df, column, method, **options)
-    x = number(df, column)
     if method == "zscore":
-        score = F.abs(F.try_divide(x - limits.mean, limits.stddev))
+        score = F.abs(F.try_divide(number(df, column) - limits.mean, limits.stddev))
         return df.where(score > limits.threshold)
-    return df.where(limits.outside(x))
+    return _compared(df, column, limits.outside(named(column)))
+
+
+def _compared(df: DataFrame, column: str, test: Column) -> DataFrame:
+    """Filter on the bare column, so that the test reaches the scan; NaN never passes."""
+    rows = df.where(test)
+    floating = isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType))
+    return rows.where(~F.isnan(named(column))) if floating else rows
 
 
 def bounds(df: DataFrame, column: str, method: str = "iqr", **options: float) -> DataFrame:
@@ -137,8 +144,8 @@ def invalid_min(df: DataFrame, column: str, minimum: float) -> DataFrame:
 
 
 def invalid_rows(df: DataFrame, column: str, minimum: float) -> DataFrame:
-    return df.where(number(df, column) <= minimum)
+    return _compared(df, column, named(column) <= minimum)
 
 
 def valid_rows(df: DataFrame, column: str, minimum: float) -> DataFrame:
-    return df.where(number(df, column) > minimum)
+    return _compared(df, column, named(column) > minimum)

@@ -1,10 +1,11 @@
 """Exact quantiles whose memory need does not grow with the table.
 
-The built-in exact ``percentile`` keeps every distinct value in one task, so it
-is used only for a checked number of rows. Beyond that the wanted ranks are
-bracketed: an approximate sketch of a sample proposes two values, exact counts
-over the whole table verify that the rank lies between them, and the next round
-looks only inside the bracket. A wrong proposal costs a round, never a result.
+The built-in exact ``percentile`` keeps every distinct value in one task. Here a
+rank is read off the value counts of a bracket known to hold it, once few enough
+rows lie strictly inside that bracket. Until then it is narrowed: an approximate
+sketch of a sample proposes two values, exact counts over the whole table verify
+that the rank lies between them, and the next round looks only inside. A wrong
+proposal costs a round, never a result; a hot value is one row of value counts.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import number
+from plumbline.functions.columns import named, number
 
 SMALL_ROWS = 1_000_000
 SAMPLE_ROWS = 4_000_000
@@ -24,11 +26,14 @@ SKETCH_ACCURACY = 10_000
 MAX_ROUNDS = 60
 
 
+SERIES, VALUE = "series", "value"
+
+
 @dataclass
 class _Rank:
-    """One wanted rank and the bracket ``[low, high]`` known to hold it."""
+    """One wanted rank of a series and the bracket ``[low, high]`` known to hold it."""
 
-    column: str
+    series: int
     position: float
     rows: int
     low: float | None = None
@@ -51,9 +56,17 @@ class _Rank:
     def pinned(self) -> bool:
         return self.low is not None and self.low == self.high
 
+    def overlaps(self, other: _Rank) -> bool:
+        low, high = -math.inf, math.inf
+        return (
+            self.series == other.series
+            and (low if self.low is None else self.low) <= (high if other.high is None else other.high)
+            and (low if other.low is None else other.low) <= (high if self.high is None else self.high)
+        )
+
     def holds(self) -> Column:
-        value = F.col(self.column)
-        test = value.isNotNull()
+        value = F.col(VALUE)
+        test = F.col(SERIES) == self.series
         if self.low is not None:
             test = test & (value >= F.lit(self.low))
         if self.high is not None:
@@ -73,7 +86,7 @@ def _propose(values: DataFrame, ranks: list[_Rank], sample_rows: int, seed: int)
             max(0.0, (rank.first - rank.below) / span - margin),
             min(1.0, (rank.last - rank.below) / span + margin),
         ]
-        inside = F.when(rank.holds(), F.col(rank.column))
+        inside = F.when(rank.holds(), F.col(VALUE))
         sketches.append(F.percentile_approx(inside, probs, SKETCH_ACCURACY).alias(f"p{i}"))
     row = sample.agg(*sketches).first()
     return [tuple(row[f"p{i}"]) if row[f"p{i}"] else (r.low, r.high) for i, r in enumerate(ranks)]
@@ -82,11 +95,11 @@ def _propose(values: DataFrame, ranks: list[_Rank], sample_rows: int, seed: int)
 def _verify(values: DataFrame, ranks: list[_Rank], proposals: list[tuple[float, float]]) -> None:
     counts = []
     for i, (rank, (low, high)) in enumerate(zip(ranks, proposals)):
-        value = F.col(rank.column)
+        value, held = F.col(VALUE), rank.holds()
         counts += [
-            F.count_if(rank.holds() & (value < F.lit(low))).alias(f"less{i}"),
-            F.count_if(rank.holds() & (value <= F.lit(high))).alias(f"upto{i}"),
-            F.count_if((value > F.lit(low)) & (value < F.lit(high))).alias(f"between{i}"),
+            F.count_if(held & (value < F.lit(low))).alias(f"less{i}"),
+            F.count_if(held & (value <= F.lit(high))).alias(f"upto{i}"),
+            F.count_if(held & (value > F.lit(low)) & (value < F.lit(high))).alias(f"between{i}"),
         ]
     row = values.agg(*counts).first()
     for i, (rank, (low, high)) in enumerate(zip(ranks, proposals)):
@@ -106,21 +119,29 @@ def _read_off(values: DataFrame, ranks: list[_Rank]) -> list[tuple[float, float]
 
     Only bracketed values reach the window, so it sees a bounded number of rows.
     """
-    tagged = F.array(
-        *(F.struct(F.lit(i).alias("rank"), F.when(r.holds(), F.col(r.column)).alias("value")) for i, r in enumerate(ranks))
-    )
+    brackets = {(r.series, r.low, r.high): r for r in ranks}
+    number_of = {key: i for i, key in enumerate(brackets)}
+    # A row counts for every bracket that holds it: overlapping ones take a scan each.
+    layers: list[list[_Rank]] = []
+    for rank in brackets.values():
+        layer = next((x for x in layers if not any(rank.overlaps(r) for r in x)), None)
+        layers.append([rank]) if layer is None else layer.append(rank)
+    parts = []
+    for layer in layers:
+        bracket = F.lit(None).cast("int")
+        for rank in layer:
+            bracket = F.when(rank.holds(), F.lit(number_of[rank.series, rank.low, rank.high])).otherwise(bracket)
+        parts.append(values.select(bracket.alias("bracket"), VALUE).where(F.col("bracket").isNotNull()))
     counted = (
-        values.select(F.inline(F.filter(tagged, lambda e: e["value"].isNotNull())))
-        .groupBy("rank", "value")
-        .agg(F.count(F.lit(1)).alias("rows"))
+        reduce(DataFrame.unionAll, parts).groupBy("bracket", VALUE).agg(F.count(F.lit(1)).alias("rows"))
     )
-    upto = F.sum("rows").over(Window.partitionBy("rank").orderBy("value"))
+    upto = F.sum("rows").over(Window.partitionBy("bracket").orderBy(VALUE))
     picks = []
     for i, rank in enumerate(ranks):
-        mine = F.col("rank") == i
+        mine = F.col("bracket") == number_of[rank.series, rank.low, rank.high]
         for name, place in (("a", rank.first), ("b", rank.last)):
             reached = mine & (F.col("upto") > F.lit(place - rank.below))
-            picks.append(F.min(F.when(reached, F.col("value"))).alias(f"{name}{i}"))
+            picks.append(F.min(F.when(reached, F.col(VALUE))).alias(f"{name}{i}"))
     row = counted.withColumn("upto", upto).agg(*picks).first()
     return [(row[f"a{i}"], row[f"b{i}"]) for i in range(len(ranks))]
 
@@ -144,6 +165,17 @@ def _by_narrowing(
     return result
 
 
+def _by_series(
+    values: DataFrame, n_series: int, probs: Sequence[float], small_rows: int, sample_rows: int
+) -> list[list[float] | None]:
+    """Quantiles of each series in a ``(series, value)`` table without NULLs."""
+    counts = dict(values.groupBy(SERIES).agg(F.count(F.lit(1))).collect())
+    ranks = [_Rank(s, p * (n - 1), n) for s, n in sorted(counts.items()) for p in probs]
+    numbers = iter(_by_narrowing(values, ranks, small_rows, sample_rows)) if ranks else iter(())
+    found = {s: [next(numbers) for _ in probs] for s in sorted(counts)}
+    return [found.get(s) for s in range(n_series)]
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -155,25 +187,30 @@ def exact_quantiles(
     """Interpolated quantiles of each column, NULL and NaN left out.
 
     Runs its small jobs at once, as ``approxQuantile`` does, and returns plain
-    numbers: used as filter bounds they reach the Parquet scan.
+    numbers: used as filter bounds they reach the Parquet scan. Each column is a
+    scan of its own, which a columnar source serves at the price of one.
     """
-    names = [f"v{i}" for i in range(len(columns))]
-    values = df.select(*(number(df, c).alias(v) for c, v in zip(columns, names)))
-    counts = values.agg(*(F.count(v).alias(v) for v in names)).first()
-    found: dict[str, list[float] | None] = {}
-
-    small = [v for v in names if 0 < counts[v] <= small_rows]
-    if small:
-        row = values.agg(*(F.percentile(F.col(v), list(probs)).alias(v) for v in small)).first()
-        found.update({v: list(row[v]) for v in small})
-
-    large = [v for v in names if counts[v] > small_rows]
-    if large:
-        ranks = [_Rank(v, p * (counts[v] - 1), counts[v]) for v in large for p in probs]
-        numbers = iter(_by_narrowing(values, ranks, small_rows, sample_rows))
-        found.update({v: [next(numbers) for _ in probs] for v in large})
-
-    return {c: found.get(v) for c, v in zip(columns, names)}
+    series = (df.select(F.lit(i).alias(SERIES), number(df, c).alias(VALUE)) for i, c in enumerate(columns))
+    values = reduce(DataFrame.unionAll, series).where(F.col(VALUE).isNotNull())
+    return dict(zip(columns, _by_series(values, len(columns), probs, small_rows, sample_rows)))
+
+
+def group_quantiles(
+    df: DataFrame,
+    group: str,
+    groups: Sequence[object],
+    column: str,
+    probs: Sequence[float],
+    *,
+    small_rows: int = SMALL_ROWS,
+    sample_rows: int = SAMPLE_ROWS,
+) -> list[list[float] | None]:
+    """Interpolated quantiles of a column within each of a few named groups."""
+    series = F.lit(None).cast("int")
+    for i, name in enumerate(groups):
+        series = F.when(named(group) == F.lit(name), F.lit(i)).otherwise(series)
+    values = df.select(series.alias(SERIES), number(df, column).alias(VALUE)).dropna()
+    return _by_series(values, len(groups), probs, small_rows, sample_rows)
 
 
 def approx_quantiles(
