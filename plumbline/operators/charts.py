@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import is_missing, named, number, numeric_columns
-from plumbline.operators.summaries import top_values
+from plumbline.operators.summaries import correlation, top_values
 from plumbline.plans.quantiles import group_quantiles, quantiles
 from plumbline.plans.stats import one_row_per, table_stats
 from plumbline.sources.tables import hash_sample
 
 KDE_BINS = 1_000
 KDE_CUT = 3.0  # how many bandwidths the curve runs past the data
-PAIRS_PER_PASS = 300
+PAIRS_PER_PASS = 100
 
 
 def bin_of(value: Column, low: Column, high: Column, bins: int) -> Column:
@@ -114,15 +114,14 @@ def box_stats(df: DataFrame, column: str, relative_error: float = 0.0) -> DataFr
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pairwise-complete Pearson correlation of all numeric columns, in long form.
 
-    All pairs share one scan; a very wide table takes one scan per 300 pairs.
+    All pairs share one scan; a very wide table takes one scan per 100 pairs.
     """
     pairs = list(combinations_with_replacement(columns or numeric_columns(df), 2))
     parts = []
     for at in range(0, len(pairs), PAIRS_PER_PASS):
         entries = []
         for x, y in pairs[at : at + PAIRS_PER_PASS]:
-            r = F.corr(number(df, x), number(df, y))
-            r = F.when(~F.isnan(r), r)
+            r = correlation(number(df, x), number(df, y))
             for a, b in [(x, y)] if x == y else [(x, y), (y, x)]:
                 entries.append([F.lit(a).alias("x"), F.lit(b).alias("y"), r.alias("pearson_r")])
         parts.append(one_row_per(df, entries))
@@ -234,7 +233,7 @@ def violin_data(
         .select(named(category).alias("category"), number(df, value).alias("v"))
         .where(F.col("v").isNotNull())
     )
-    quartiles = group_quantiles(rows, "category", top, "v", [0.25, 0.5, 0.75])
+    quartiles = group_quantiles(rows, "category", "v", [0.25, 0.5, 0.75])
     # One row for each of at most top_n categories: safe to broadcast.
     shapes = F.broadcast(rows.groupBy("category").agg(*(e.alias(n) for n, e in _shape(F.col("v")).items())))
     points = (
@@ -244,19 +243,17 @@ def violin_data(
     )
     curve = _curve(points, ["category", "total"], grid)
 
-    def quartile(at: int) -> Column:
-        pick = F.lit(None).cast("double")
-        for i, t in enumerate(top):
-            found = quartiles[i]
-            pick = F.when(F.col("category") == t, F.lit(found[at] if found else None)).otherwise(pick)
-        return pick
-
+    # The quartiles of at most top_n categories travel as a small constant map.
+    by_category = F.create_map(
+        *(x for t, q in quartiles.items() for x in (F.lit(t), F.array(*(F.lit(v) for v in q))))
+    )
+    quartile = F.try_element_at(by_category, F.col("category"))
     return curve.select(
         "category",
         F.col("total").alias("n_values"),
-        quartile(0).alias("q1"),
-        quartile(1).alias("median"),
-        quartile(2).alias("q3"),
+        quartile[0].alias("q1"),
+        quartile[1].alias("median"),
+        quartile[2].alias("q3"),
         "grid_point",
         "x",
         "density",

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from plumbline.functions.columns import NUMERIC, named, number, numeric_columns, type_class
 from plumbline.functions.text import unit_hash
 from plumbline.operators.summaries import variances
+from plumbline.plans.keep import kept
 from plumbline.plans.lookup import VALUE, attach, fitted
 from plumbline.plans.ordering import running_totals
 from plumbline.plans.quantiles import quantiles
@@ -177,25 +178,29 @@ def _chisq_candidates(train: DataFrame, label: str) -> list[str]:
     return [c for i, c in enumerate(numeric) if lows[f"m{i}"] is not None and lows[f"m{i}"] >= 0]
 
 
-def _chisq_input(
-    train: DataFrame, label: str, features: Sequence[str], max_categories: int, bins: int, relative_error: float
-) -> DataFrame:
-    """Label ``y`` and features ``x0..`` as doubles; features with many values are cut at quantiles."""
-    names = [f"x{i}" for i in range(len(features))]
-    keep = [number(train, c).alias(x) for c, x in zip(features, names)]
+def _chisq_columns(train: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
+    """Label ``y`` and features ``x0..`` as doubles, complete rows only."""
     is_number = type_class(train.schema[label].dataType) == NUMERIC
-    data = train.select(named(label).cast("double" if is_number else "string").alias("y"), *keep).dropna()
-    if not is_number:
-        data = StringIndexer(inputCol="y", outputCol="y_index").fit(data).transform(data).drop("y")
-        data = data.withColumnRenamed("y_index", "y")
-    distinct = data.agg(*(F.approx_count_distinct(x).alias(x) for x in names)).first()
-    many = [x for x in names if distinct[x] > max_categories]
-    if many:
-        cuts = quantiles(data, many, [i / bins for i in range(1, bins)], relative_error)
-        splits = [[float("-inf"), *sorted(set(cuts[x])), float("inf")] for x in many]
-        data = Bucketizer(splitsArray=splits, inputCols=many, outputCols=[f"{x}_bin" for x in many]).transform(data)
-        data = data.drop(*many).withColumnsRenamed({f"{x}_bin": x for x in many})
-    return VectorAssembler(inputCols=names, outputCol="x").transform(data).select("y", "x")
+    y = named(label).cast("double" if is_number else "string").alias("y")
+    data = train.select(y, *(number(train, c).alias(f"x{i}") for i, c in enumerate(features))).dropna()
+    if is_number:
+        return data
+    index = StringIndexer(inputCol="y", outputCol="y_index").fit(data)
+    return index.transform(data).drop("y").withColumnRenamed("y_index", "y")
+
+
+def _cut_at_quantiles(
+    data: DataFrame, features: Sequence[str], max_categories: int, bins: int, relative_error: float
+) -> DataFrame:
+    """Turn a feature with too many values into its quantile bins."""
+    distinct = data.agg(*(F.approx_count_distinct(x).alias(x) for x in features)).first()
+    many = [x for x in features if distinct[x] > max_categories]
+    if not many:
+        return data
+    cuts = quantiles(data, many, [i / bins for i in range(1, bins)], relative_error)
+    splits = [[float("-inf"), *sorted(set(cuts[x])), float("inf")] for x in many]
+    cut = Bucketizer(splitsArray=splits, inputCols=many, outputCols=[f"{x}_bin" for x in many]).transform(data)
+    return cut.drop(*many).withColumnsRenamed({f"{x}_bin": x for x in many})
 
 
 def chisq_statistics(
@@ -209,15 +214,19 @@ def chisq_statistics(
 ) -> DataFrame:
     """Chi-square test of each non-negative numeric feature against the label."""
     features = list(features or _chisq_candidates(train, label))
-    data = _chisq_input(train, label, features, max_categories, bins, relative_error)
+    inputs = [f"x{i}" for i in range(len(features))]
     names = F.array(*(F.lit(f) for f in features))
-    return ChiSquareTest.test(data, "x", "y", flatten=True).select(
-        F.element_at(names, F.col("featureIndex") + 1).alias("feature"),
-        F.col("featureIndex").alias("position"),
-        F.col("statistic"),
-        F.col("degreesOfFreedom").cast("bigint").alias("degrees_of_freedom"),
-        F.col("pValue").alias("p_value"),
-    )
+    with kept(_chisq_columns(train, label, features)) as data:
+        ready = _cut_at_quantiles(data, inputs, max_categories, bins, relative_error)
+        vectors = VectorAssembler(inputCols=inputs, outputCol="x").transform(ready).select("y", "x")
+        tests = ChiSquareTest.test(vectors, "x", "y", flatten=True).select(
+            F.element_at(names, F.col("featureIndex") + 1).alias("feature"),
+            F.col("featureIndex").alias("position"),
+            F.col("statistic"),
+            F.col("degreesOfFreedom").cast("bigint").alias("degrees_of_freedom"),
+            F.col("pValue").alias("p_value"),
+        )
+        return fitted(tests)
 
 
 def select_chisq(train: DataFrame, label: str, k: int = 7, **options: float) -> DataFrame:

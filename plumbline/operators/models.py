@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
-from contextlib import contextmanager
 
-from pyspark import StorageLevel
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -31,6 +29,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import categorical_columns, named, number
 from plumbline.operators import metrics
 from plumbline.operators.features import target_indexer
+from plumbline.plans.keep import kept
 from plumbline.session import ensure_checkpoint_dir
 
 SEED = 42
@@ -72,19 +71,6 @@ def available_models(task: str) -> list[str]:
     return list(REGRESSORS if task == "regression" else CLASSIFIERS)
 
 
-@contextmanager
-def _kept(df: DataFrame):
-    """Keep a narrow table that several passes read, and free it unless it was kept before."""
-    if df.storageLevel != StorageLevel.NONE:
-        yield df
-        return
-    df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield df
-    finally:
-        df.unpersist()
-
-
 def _used(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """The columns a model reads, of the rows that have a target."""
     names = dict.fromkeys([*features, target])
@@ -127,7 +113,7 @@ def fit_classifier(
     label = f"{target}_idx"
     gather = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid=handle_invalid)
     estimator = CLASSIFIERS[name](task).setLabelCol(label).setFeaturesCol("features")
-    with _kept(_used(train, features, target)) as rows:
+    with kept(_used(train, features, target)) as rows:
         stages, data = _prepare(rows, [*encoders, gather])
         index = target_indexer(train, target, label).fit(data)
         # The learners keep their own compact copy for the iterations.
@@ -158,7 +144,7 @@ def fit_regressor(
             .agg(F.avg(named(target)).alias(target), F.count(F.lit(1)).cast("double").alias("weight"))
         )
         estimator = estimator.setWeightCol("weight")
-    with _kept(rows):
+    with kept(rows):
         stages, data = _prepare(rows, [*encoders, gather])
         model = estimator.fit(data)
     return PipelineModel([*stages, model])
@@ -181,7 +167,7 @@ def evaluate_classifier(model: PipelineModel, test: DataFrame, target: str, task
     ranked = task == BINARY and "rawPrediction" in scored.columns
     if ranked:
         columns.append(vector_to_array("rawPrediction")[1].alias("score"))
-    with _kept(scored.select(*columns)) as rows:
+    with kept(scored.select(*columns)) as rows:
         found = metrics.classification_metrics(rows, "label", "prediction").collect()
         if ranked:
             found += metrics.ranking_metrics(rows, "label", "score").collect()
@@ -215,7 +201,7 @@ def compare_classifiers(
         model = fit_classifier(name, train, features, target, task)
         return model, evaluate_classifier(model, held_out, target, task)
 
-    with _kept(_used(train, features, target)), _kept(_used(test, features, target)) as held_out:
+    with kept(_used(train, features, target)), kept(_used(test, features, target)) as held_out:
         return _collect_results(train.sparkSession, names, attempt)
 
 
@@ -226,7 +212,7 @@ def compare_regressors(
         model = fit_regressor(name, train, features, target)
         return model, evaluate_regressor(model, held_out, target)
 
-    with _kept(_used(train, features, target)), _kept(_used(test, features, target)) as held_out:
+    with kept(_used(train, features, target)), kept(_used(test, features, target)) as held_out:
         return _collect_results(train.sparkSession, names, attempt)
 
 

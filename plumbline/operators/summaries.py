@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import named, number, numeric_columns
@@ -86,12 +86,21 @@ def group_means(df: DataFrame, category: str, values: Sequence[str], n: int = 10
     )
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pairwise-complete Pearson r; NULL when either side is constant.
+
+    Spelt out, because the built-in divides by zero on a constant column.
+    """
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     """Correlation over rows where both are filled; NULL when one is constant."""
     a, b = number(df, x), number(df, y)
     return df.agg(
         F.count_if(a.isNotNull() & b.isNotNull()).alias("n_pairs"),
-        F.nanvl(F.corr(a, b), F.lit(None).cast("double")).alias("pearson_r"),
+        correlation(a, b).alias("pearson_r"),
     )
 
 

@@ -33,7 +33,7 @@ SERIES, VALUE = "series", "value"
 class _Rank:
     """One wanted rank of a series and the bracket ``[low, high]`` known to hold it."""
 
-    series: int
+    series: object
     position: float
     rows: int
     low: float | None = None
@@ -66,7 +66,7 @@ class _Rank:
 
     def holds(self) -> Column:
         value = F.col(VALUE)
-        test = F.col(SERIES) == self.series
+        test = F.col(SERIES) == F.lit(self.series)
         if self.low is not None:
             test = test & (value >= F.lit(self.low))
         if self.high is not None:
@@ -128,22 +128,28 @@ def _read_off(values: DataFrame, ranks: list[_Rank]) -> list[tuple[float, float]
         layers.append([rank]) if layer is None else layer.append(rank)
     parts = []
     for layer in layers:
-        bracket = F.lit(None).cast("int")
-        for rank in layer:
-            bracket = F.when(rank.holds(), F.lit(number_of[rank.series, rank.low, rank.high])).otherwise(bracket)
+        numbered = [(r.holds(), F.lit(number_of[r.series, r.low, r.high])) for r in layer]
+        bracket = reduce(lambda case, branch: case.when(*branch), numbered[1:], F.when(*numbered[0]))
         parts.append(values.select(bracket.alias("bracket"), VALUE).where(F.col("bracket").isNotNull()))
     counted = (
         reduce(DataFrame.unionAll, parts).groupBy("bracket", VALUE).agg(F.count(F.lit(1)).alias("rows"))
     )
     upto = F.sum("rows").over(Window.partitionBy("bracket").orderBy(VALUE))
-    picks = []
-    for i, rank in enumerate(ranks):
-        mine = F.col("bracket") == number_of[rank.series, rank.low, rank.high]
-        for name, place in (("a", rank.first), ("b", rank.last)):
-            reached = mine & (F.col("upto") > F.lit(place - rank.below))
-            picks.append(F.min(F.when(reached, F.col(VALUE))).alias(f"{name}{i}"))
-    row = counted.withColumn("upto", upto).agg(*picks).first()
-    return [(row[f"a{i}"], row[f"b{i}"]) for i in range(len(ranks))]
+    places = {
+        (number_of[r.series, r.low, r.high], place - r.below) for r in ranks for place in (r.first, r.last)
+    }
+    # As many rows as wanted places: safe to broadcast and to collect.
+    wanted = F.broadcast(values.sparkSession.createDataFrame(sorted(places), "bracket int, place bigint"))
+    hits = (
+        counted.withColumn("upto", upto)
+        .join(wanted, "bracket")
+        .where((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("rows")))
+        .select("bracket", "place", VALUE)
+    )
+    found = {(b, p): v for b, p, v in hits.collect()}
+    return [
+        tuple(found[number_of[r.series, r.low, r.high], place - r.below] for place in (r.first, r.last)) for r in ranks
+    ]
 
 
 def _by_narrowing(
@@ -166,14 +172,13 @@ def _by_narrowing(
 
 
 def _by_series(
-    values: DataFrame, n_series: int, probs: Sequence[float], small_rows: int, sample_rows: int
-) -> list[list[float] | None]:
+    values: DataFrame, probs: Sequence[float], small_rows: int, sample_rows: int
+) -> dict[object, list[float]]:
     """Quantiles of each series in a ``(series, value)`` table without NULLs."""
     counts = dict(values.groupBy(SERIES).agg(F.count(F.lit(1))).collect())
-    ranks = [_Rank(s, p * (n - 1), n) for s, n in sorted(counts.items()) for p in probs]
+    ranks = [_Rank(s, p * (n - 1), n) for s, n in counts.items() for p in probs]
     numbers = iter(_by_narrowing(values, ranks, small_rows, sample_rows)) if ranks else iter(())
-    found = {s: [next(numbers) for _ in probs] for s in sorted(counts)}
-    return [found.get(s) for s in range(n_series)]
+    return {s: [next(numbers) for _ in probs] for s in counts}
 
 
 def exact_quantiles(
@@ -192,25 +197,22 @@ def exact_quantiles(
     """
     series = (df.select(F.lit(i).alias(SERIES), number(df, c).alias(VALUE)) for i, c in enumerate(columns))
     values = reduce(DataFrame.unionAll, series).where(F.col(VALUE).isNotNull())
-    return dict(zip(columns, _by_series(values, len(columns), probs, small_rows, sample_rows)))
+    found = _by_series(values, probs, small_rows, sample_rows)
+    return {c: found.get(i) for i, c in enumerate(columns)}
 
 
 def group_quantiles(
     df: DataFrame,
     group: str,
-    groups: Sequence[object],
     column: str,
     probs: Sequence[float],
     *,
     small_rows: int = SMALL_ROWS,
     sample_rows: int = SAMPLE_ROWS,
-) -> list[list[float] | None]:
-    """Interpolated quantiles of a column within each of a few named groups."""
-    series = F.lit(None).cast("int")
-    for i, name in enumerate(groups):
-        series = F.when(named(group) == F.lit(name), F.lit(i)).otherwise(series)
-    values = df.select(series.alias(SERIES), number(df, column).alias(VALUE)).dropna()
-    return _by_series(values, len(groups), probs, small_rows, sample_rows)
+) -> dict[object, list[float]]:
+    """Interpolated quantiles of a column within each of a few groups; any group may be hot."""
+    values = df.select(named(group).alias(SERIES), number(df, column).alias(VALUE)).dropna()
+    return _by_series(values, probs, small_rows, sample_rows)
 
 
 def approx_quantiles(
