@@ -79,7 +79,7 @@ def label_index(train: DataFrame, column: str) -> DataFrame:
 def label_encode(df: DataFrame, column: str, index: DataFrame, output: str | None = None) -> DataFrame:
     """Add ``<column>_indexed``; NULL and values unseen in training get the next free index."""
     unseen = table_stats(index, n=F.count(F.lit(1)))["n"].cast("double")
-    return attach(df, column, index).withColumn(
+    return attach(df, column, index, "__index", F.asc("__index")).withColumn(
         output or f"{column}_indexed", F.coalesce(F.col("__index"), unseen)
     ).drop("__index")
 
@@ -102,7 +102,7 @@ def frequency_table(train: DataFrame, column: str) -> DataFrame:
 
 def frequency_encode(df: DataFrame, column: str, table: DataFrame) -> DataFrame:
     """Put the training frequency in place of the value; 0 for NULL and unseen values."""
-    return attach(df, column, table).withColumn(
+    return attach(df, column, table, "__frequency", F.desc("__frequency")).withColumn(
         column, F.coalesce(F.col("__frequency"), F.lit(0.0))
     ).drop("__frequency")
 
@@ -117,7 +117,11 @@ def frequency_encoding(
 
 
 def onehot_encoder(train: DataFrame, column: str) -> PipelineModel:
-    """Adds ``<column>_indexed`` and the vector ``<column>_ohe``; unseen values are all zero."""
+    """Adds ``<column>_indexed`` and the vector ``<column>_ohe``; unseen values are all zero.
+
+    The vector is as wide as the column has values, and the model holds their list:
+    for a column with very many values use label or frequency encoding.
+    """
     return Pipeline(
         stages=[
             StringIndexer(inputCol=column, outputCol=f"{column}_indexed", handleInvalid="keep"),

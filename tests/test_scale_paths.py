@@ -131,16 +131,35 @@ def test_group_quantiles(hot):
         assert np.allclose(got[key], np.quantile(rows["at"], [0.25, 0.5]))
 
 
-def test_attach_shuffles_when_the_table_is_not_small(spark, monkeypatch):
-    df = spark.range(1_000).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 50).alias("key"))
+def test_attach_of_a_table_that_is_not_small(spark, monkeypatch):
+    hot = F.when(F.rand(2) < 0.34, F.lit(7)).when(F.rand(3) < 0.3, None).otherwise(F.col("id") % 80)
+    df = spark.range(4_000).select("id", hot.alias("key")).cache()
     table = spark.range(60).select(F.col("id").alias(lookup.VALUE), (F.col("id") * 2).alias("twice"))
-    small = lookup.attach(df, "key", table)
+    small = lookup.attach(df, "key", table, "twice", F.abs(F.col(lookup.VALUE) - 7).asc())
     monkeypatch.setattr(lookup, "BROADCAST_ROWS", 10)
-    large = lookup.attach(df, "key", table)
-    plan = "\n".join(str(x._jdf.queryExecution().optimizedPlan()) for x in (small, large))
-    assert plan.count("broadcast") == 1
+    monkeypatch.setattr(lookup, "HOT_VALUES", 4)
+    large = lookup.attach(df, "key", table, "twice", F.abs(F.col(lookup.VALUE) - 7).asc())
+    assert small.columns == large.columns == ["id", "key", "twice"]
     assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
-    assert large.count() == 1_000 and large.where("twice IS NULL AND key IS NULL").count() > 0
+    assert large.count() == 4_000 and large.where("twice IS NULL AND key IS NULL").count() > 0
+    assert large.where("twice IS NULL AND key < 60").count() == 0
+
+
+def test_salted_rows_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(lookup, "HOT_VALUES", 1)
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        df = spark.range(8_000).select("id", F.when(F.col("id") % 2 == 0, 1).alias("key"))
+        table = spark.range(5).select(F.col("id").alias(lookup.VALUE), F.col("id").alias("x"))
+        done = lookup.attach(df, "key", table, "x", F.abs(F.col(lookup.VALUE) - 1).asc())
+        sizes = [r["count"] for r in done.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 8 and max(sizes) < 2_000
 
 
 def test_results_do_not_depend_on_partitioning(spark, hot):
