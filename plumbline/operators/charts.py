@@ -116,15 +116,18 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
 
     All pairs share one scan; a very wide table takes one scan per 100 pairs.
     """
-    pairs = list(combinations_with_replacement(columns or numeric_columns(df), 2))
+    columns = list(columns or numeric_columns(df))
+    values = df.select(*(number(df, c).alias(f"v{i}") for i, c in enumerate(columns)))
+    pairs = list(combinations_with_replacement(range(len(columns)), 2))
     parts = []
     for at in range(0, len(pairs), PAIRS_PER_PASS):
         entries = []
-        for x, y in pairs[at : at + PAIRS_PER_PASS]:
-            r = correlation(number(df, x), number(df, y))
-            for a, b in [(x, y)] if x == y else [(x, y), (y, x)]:
-                entries.append([F.lit(a).alias("x"), F.lit(b).alias("y"), r.alias("pearson_r")])
-        parts.append(one_row_per(df, entries))
+        for i, j in pairs[at : at + PAIRS_PER_PASS]:
+            a, b = F.col(f"v{i}"), F.col(f"v{j}")
+            r = correlation(a, b) if i != j else F.when(F.min(a) < F.max(a), F.lit(1.0))
+            for x, y in [(i, j)] if i == j else [(i, j), (j, i)]:
+                entries.append([F.lit(columns[x]).alias("x"), F.lit(columns[y]).alias("y"), r.alias("pearson_r")])
+        parts.append(one_row_per(values, entries))
     return reduce(DataFrame.unionByName, parts)
 
 
