@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -27,17 +25,11 @@ def build_session(app_name: str = "plumbline", master: str | None = None, **conf
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``.
-
-    Only a local-mode session, where driver and executors are one process, may
-    fall back to a temporary folder.
-    """
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else one in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="plumbline-")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
