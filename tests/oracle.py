@@ -26,7 +26,7 @@ def _sorted(rows, names):
     return [names[i] for i in order], sorted(tuple(_cell(r[i]) for i in order) for r in rows)
 
 
-KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE"}
+KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN"}
 
 
 def difference(spark, con, run, sql, folder) -> str | None:
