@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact_dedup
+from plumbline.llm import exact_dedup, source_mix
 from plumbline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,9 @@ def query(name: str, sql: str | None = None):
 )
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, folder, "documents"))
+
+
+@query("op10_source_mix")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    mix = source_mix.mix(read_table(spark, folder, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "copies")
