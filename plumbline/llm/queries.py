@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, exact_dedup, source_mix
+from plumbline.llm import bpe, exact_dedup, source_mix, token_files
 from plumbline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op6_token_files")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    rows = token_files.write_and_read(read_table(spark, folder, "documents"), vocabulary)
+    n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return rows.select("doc_id", "start", n_tokens, F.crc32("ids").alias("ids_crc32"))
