@@ -21,6 +21,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -157,6 +158,12 @@ class WordEndBpe:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@lru_cache(maxsize=2)
+def word_end_bpe(path: str) -> WordEndBpe:
+    """One encoder for each worker process, so its cache outlives a task."""
+    return WordEndBpe(path)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
     """Ids and texts of a few documents at a time; a longer text ends its slice."""
     for batch in batches:
@@ -180,7 +187,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", t
     """Per document: id, ids (binary, little-endian unsigned 32-bit integers), decoded (from those ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordEndBpe(vocabulary)
+        bpe = word_end_bpe(vocabulary)
         for keys, texts in text_slices(batches):
             ids = bpe.encode_batch(texts)
             decoded = pa.array([bpe.decode(i) for i in ids], pa.string())

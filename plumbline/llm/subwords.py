@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -75,3 +76,9 @@ class SubwordEncoder:
         self._learn({p for pieces in cut if pieces for p in pieces if p not in self.cache})
         get = self.cache.__getitem__
         return [self._whole(t).tobytes() if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, plain_specials: bool = False) -> SubwordEncoder:
+    """One encoder for each worker process, so its cache outlives a task."""
+    return SubwordEncoder(path, plain_specials)

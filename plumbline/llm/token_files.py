@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.bpe import text_slices
 from plumbline.llm.common import shuffle_partitions, whole_text
-from plumbline.llm.subwords import SubwordEncoder
+from plumbline.llm.subwords import encoder
 from plumbline.session import shared_dir
 
 BLOCK = 256
@@ -115,7 +115,7 @@ def write(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = SubwordEncoder(vocabulary)
+        subwords = encoder(vocabulary)
         shard, start = TaskContext.get().partitionId(), 0
         keys: list = []
         held: list[bytes] = []
@@ -140,7 +140,7 @@ def write(
                     ]
                 )
             size = sum(map(len, held)) // 4
-            for key, code in zip(ids.to_pylist(), encoder.encode_batch(texts)):
+            for key, code in zip(ids.to_pylist(), subwords.encode_batch(texts)):
                 keys.append(key)
                 held.append(code + end)
                 size += len(held[-1]) // 4
