@@ -164,7 +164,7 @@ def word_end_bpe(path: str) -> WordEndBpe:
     return WordEndBpe(path)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+def text_slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_CHARS) -> Iterator[tuple[pa.Array, list[str]]]:
     """Ids and texts of a few documents at a time; a longer text ends its slice."""
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
@@ -172,7 +172,7 @@ def text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, l
         for i, text in enumerate(texts):
             held.append(text.as_py())
             chars += len(held[-1])
-            if chars >= SLICE_CHARS:
+            if chars >= most:
                 yield ids.slice(begin, len(held)), held
                 begin, held, chars = i + 1, [], 0
         if held:

@@ -1,10 +1,11 @@
 """Subword ids of whole texts by the tokenizers library, with a cache of pieces.
 
-A byte-level file cuts a text into pieces and encodes each alone. Texts of ASCII and
-Latin-1 letters are cut here by the same pattern over those letters; others are cut
+A byte-level file cuts a text into pieces and encodes each alone. Texts of printable
+ASCII without apostrophes and of Latin-1 letters are cut here, many texts at once as
+one array of bytes; equal pieces are found by sorting their hashes. Other texts are cut
 only before a space that stands in front of other text, where a piece always begins.
 The library encodes each new piece once for as long as the cache holds it: new pieces
-go to it joined by line breaks, which never join a piece.
+go to it joined by line breaks, and those cut here only to its merges.
 """
 
 from __future__ import annotations
@@ -17,14 +18,55 @@ import numpy as np
 
 #: Pieces that the cache may hold.
 CACHE_PIECES = 600_000
-#: The pattern of the file over ASCII and Latin-1 letters.
-LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_PLAIN = re.compile(rf"[\t\n\r -~{LETTERS}]*")
-_PIECES = re.compile(
-    rf" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+"
-)
+_PLAIN = re.compile(r"[\t\n\r -&(-~À-ÖØ-öø-ÿ]*")
 _CUT = re.compile(r" (?=\S)")
-_JOINABLE = re.compile(r" ?\S+")
+_JOINABLE = re.compile(rb" ?\S+")
+#: Classes of bytes: white space, letters (those of two bytes too), digits, the rest.
+_SPACE, _LETTER, _DIGIT, _REST = range(4)
+_CLASS = np.full(256, _REST, np.uint8)
+_CLASS[[*b"\t\n\r "]] = _SPACE
+_CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
+_CLASS[48:58] = _DIGIT
+#: Odd base of the polynomial hash of bytes, and its inverse modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the base and of its inverse."""
+    if len(_POWERS.get("up", ())) < n:
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
+            steps = np.full(max(n, 2**20), base, np.uint64)
+            steps[0] = 1
+            _POWERS[name] = np.cumprod(steps)
+    return _POWERS["up"], _POWERS["down"]
+
+
+def range_hashes(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each range of bytes, from one running sum of byte times power."""
+    up, down = _powers(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
+    h = (total[ends] - total[begins]) * down[begins]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def cut_pieces(raw: np.ndarray, doc_begins: np.ndarray) -> np.ndarray:
+    """Where pieces begin in the bytes of plain texts laid end to end; no text is empty."""
+    kind = _CLASS[raw]
+    space = kind == _SPACE
+    first = np.zeros(len(raw) + 1, bool)
+    first[doc_begins] = first[-1] = True
+    before = np.r_[np.uint8(9), kind[:-1]]
+    begins = kind != before
+    # Of white space before other text, the last one is apart, and a plain space joins what follows.
+    last = space & ~np.r_[space[1:], False] & ~first[1:]
+    begins |= last
+    begins[1:] &= ~(last[:-1] & (raw[:-1] == 32))
+    begins |= first[:-1]
+    return np.flatnonzero(begins)
 
 
 class SubwordEncoder:
@@ -32,50 +74,91 @@ class SubwordEncoder:
 
     def __init__(self, path: str, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.library.encode_special_tokens = plain_specials
+        self.library, self.merger = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for tokenizer in (self.library, self.merger):
+            tokenizer.no_truncation()
+            tokenizer.no_padding()
+            tokenizer.encode_special_tokens = plain_specials
+        # The merger gets text that is cut already: only the line breaks between pieces end one.
+        letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.merger.pre_tokenizer = pre_tokenizers.Sequence([letters, pre_tokenizers.Split("Ċ", "isolated")])
         added = self.library.get_added_tokens_decoder().values()
         self.specials = [] if plain_specials else [t.content for t in added]
         (self.line_break,) = self._whole("\n")
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[bytes, np.ndarray] = {}
 
     def _whole(self, text: str) -> np.ndarray:
-        (encoding,) = self.library.encode_batch_fast([text], add_special_tokens=False)
+        return self._ids(self.library, text)
+
+    def _ids(self, tokenizer, text: str) -> np.ndarray:
+        (encoding,) = tokenizer.encode_batch_fast([text], add_special_tokens=False)
         return np.array(encoding.ids, "<u4")
 
-    def _learn(self, pieces: set[str]) -> None:
-        joined = [p for p in pieces if _JOINABLE.fullmatch(p)]
-        for p in pieces.difference(joined):
-            self.cache[p] = self._whole(p).tobytes()
+    def _learn(self, parts: list[bytes], tokenizer) -> None:
+        joined = [p for p in parts if _JOINABLE.fullmatch(p)]
+        for p in set(parts).difference(joined):
+            self.cache[p] = self._whole(p.decode())
         if not joined:
             return
-        ids = self._whole("\n".join(joined))
-        ends = np.append(np.flatnonzero(ids == self.line_break), len(ids))
+        ids = self._ids(tokenizer, b"\n".join(joined).decode())
+        ends = np.append(np.flatnonzero(ids == self.line_break), len(ids)).tolist()
         if len(ends) != len(joined):
             raise ValueError("a piece holds the line break's id")
-        flat, at = ids.tobytes(), 0
-        for p, end in zip(joined, (4 * ends).tolist()):
-            self.cache[p] = flat[at:end]
-            at = end + 4
-
-    def _cut(self, text: str) -> list[str]:
-        if _PLAIN.fullmatch(text):
-            return _PIECES.findall(text)
-        first, *rest = _CUT.split(text)
-        return [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        at = 0
+        for p, end in zip(joined, ends):
+            self.cache[p] = ids[at:end].copy()
+            at = end + 1
+
+    def _codes(self, parts: list[bytes], tokenizer) -> list[np.ndarray]:
+        new = [p for p in dict.fromkeys(parts) if p not in self.cache]
+        if new:
+            self._learn(new, tokenizer)
+        return list(map(self.cache.__getitem__, parts))
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        data = [t.encode() for t in texts]
+        sizes = np.array([len(d) for d in data])
+        joined = b"".join(data)
+        if not joined:
+            return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
+        raw = np.frombuffer(joined, np.uint8)
+        doc_begins = np.cumsum(sizes) - sizes
+        begins = cut_pieces(raw, doc_begins[sizes > 0])
+        ends = np.r_[begins[1:], len(raw)]
+        _, example, inverse = np.unique(range_hashes(raw, begins, ends), return_index=True, return_inverse=True)
+        spans = zip(begins[example].tolist(), ends[example].tolist())
+        codes = self._codes([joined[b:e] for b, e in spans], self.merger)
+        lengths = np.array([len(c) for c in codes])
+        where = np.cumsum(lengths) - lengths
+        n = lengths[inverse]
+        goes = np.cumsum(n)
+        ids = np.concatenate(codes)[np.arange(goes[-1]) + np.repeat(where[inverse] - goes + n, n)]
+        upto = np.r_[0, goes][np.searchsorted(begins, np.r_[doc_begins, len(raw)])]
+        return ids, np.diff(upto)
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array of unsigned 32-bit integers, and how many each text has."""
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
-        cut = [None if any(s in t for s in self.specials) else self._cut(t) for t in texts]
-        self._learn({p for pieces in cut if pieces for p in pieces if p not in self.cache})
-        get = self.cache.__getitem__
-        return [self._whole(t).tobytes() if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
+        plain = [bool(_PLAIN.fullmatch(t)) and not any(s in t for s in self.specials) for t in texts]
+        ids, counts = self._plain([t for t, p in zip(texts, plain) if p])
+        if all(plain):
+            return ids, counts
+        bounds = np.r_[0, np.cumsum(counts)]
+        arrays, k = [], 0
+        for text, p in zip(texts, plain):
+            if p:
+                arrays.append(ids[bounds[k] : bounds[k + 1]])
+                k += 1
+            elif any(s in text for s in self.specials):
+                arrays.append(self._whole(text))
+            else:
+                first, *rest = _CUT.split(text)
+                parts = ([first.encode()] if first else []) + [b" " + w.encode() for w in rest]
+                arrays.append(np.concatenate([np.zeros(0, "<u4"), *self._codes(parts, self.library)]))
+        return np.concatenate(arrays), np.array([len(a) for a in arrays])
 
 
 @lru_cache(maxsize=2)

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.bpe import text_slices
+from plumbline.llm.bpe import SLICE_CHARS, text_slices
 from plumbline.llm.common import shuffle_partitions, whole_text
 from plumbline.llm.subwords import encoder
 from plumbline.session import shared_dir
@@ -112,22 +112,21 @@ def write(
 ) -> None:
     """Encode the documents in ascending id order, each with ``end_id`` behind it, into files at ``path``."""
     kind = docs.schema[id_column].dataType.simpleString()
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords = encoder(vocabulary)
         shard, start = TaskContext.get().partitionId(), 0
         keys: list = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
 
         def row() -> pa.RecordBatch:
-            counts = [len(h) // 4 for h in held]
-            payload = pack(np.frombuffer(b"".join(held), "<u4"))
+            counts = [len(h) for h in held]
+            payload = pack(np.concatenate(held))
             cells = [[shard], [start], [keys], [counts], [sum(counts)], [payload]]
             return pa.RecordBatch.from_pylist([dict(zip(schema.names, [c[0] for c in cells]))], schema)
 
         schema = None
-        for ids, texts in text_slices(batches):
+        for ids, texts in text_slices(batches, 3 * SLICE_CHARS):
             if schema is None:
                 schema = pa.schema(
                     [
@@ -139,11 +138,15 @@ def write(
                         ("payload", pa.binary()),
                     ]
                 )
-            size = sum(map(len, held)) // 4
-            for key, code in zip(ids.to_pylist(), subwords.encode_batch(texts)):
+            size = sum(map(len, held))
+            flat, counts = subwords.encode_flat(texts)
+            ends = np.cumsum(counts)
+            flat = np.insert(flat, ends, end_id)  # each document's end id goes behind it
+            cuts = ends + np.arange(1, len(ends) + 1)
+            for key, code in zip(ids.to_pylist(), np.split(flat, cuts[:-1])):
                 keys.append(key)
-                held.append(code + end)
-                size += len(held[-1]) // 4
+                held.append(code)
+                size += len(code)
                 if size >= ROW_IDS:
                     yield row()
                     start, size = start + size, 0
