@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, exact_dedup, source_mix, token_files
+from plumbline.llm import bpe, exact_dedup, license_scan, source_mix, token_files, url_filter
 from plumbline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,66 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     rows = token_files.write_and_read(read_table(spark, folder, "documents"), vocabulary)
     n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
     return rows.select("doc_id", "start", n_tokens, F.crc32("ids").alias("ids_crc32"))
+
+
+#: The rules of the query, as (host, path).
+BLOCK = [("net", "/"), ("example.com", "/de/")]
+ALLOW = [("example.net", "/en/"), ("org", "/fr/")]
+
+
+@query(
+    "op8_url_filter",
+    r"""
+    WITH parsed AS (
+      SELECT page_id,
+        translate(regexp_extract(coalesce(url, ''), '(?s)\A.*?://([^/?#]*)', 1),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(coalesce(url, ''), '(?s)\A.*?://[^/?#]*([^?#]*)', 1) AS path
+      FROM pages
+    ), rules (verdict, rule_host, rule_path) AS (
+      VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'),
+             ('allow', 'org', '/fr/')
+    ), fits AS (
+      SELECT page_id, host, path, verdict, rule_host || rule_path AS rule,
+        row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC NULLS LAST) AS place
+      FROM parsed LEFT JOIN rules
+        ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+    )
+    SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE place = 1
+    """,
+)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, folder, "pages"), BLOCK, ALLOW)
+
+
+_CANONICAL = r"""trim(
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  regexp_replace(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*', chr(10), 'g'),
+    '[^0-9a-z\x{{80}}-\x{{10FFFF}}]+', ' ', 'g'),
+    '\bv([0-9])', 'version \1', 'g'), '\blicence\b', 'license', 'g'), '\blicenced\b', 'licensed', 'g'),
+    '\bnoncommercial\b', 'non commercial', 'g'), '\bv\b', 'version', 'g'), ' ')"""
+_KNOWN = ", ".join("('%s', '%s')" % pair for pair in license_scan.KNOWN)
+
+
+@query(
+    "op9_license_scan",
+    f"""
+    WITH known AS (
+      SELECT min(license) AS license, {_CANONICAL.format("body")} AS form
+      FROM (VALUES {_KNOWN}) AS k (license, body) GROUP BY form
+    ), units AS (
+      SELECT doc_id, true AS whole, coalesce(text, '') AS body FROM documents
+      UNION ALL
+      SELECT doc_id, false, unnest(string_split(coalesce(text, ''), chr(10))) FROM documents
+    ), found AS (
+      SELECT doc_id, whole, license FROM units LEFT JOIN known ON form = {_CANONICAL.format("units.body")}
+    )
+    SELECT doc_id, min(license) FILTER (whole) AS license_of_text,
+      coalesce(string_agg(DISTINCT license, ',' ORDER BY license), '') AS licenses
+    FROM found GROUP BY doc_id
+    """,
+)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    found = license_scan.scan(read_table(spark, folder, "documents"))
+    return found.withColumn("licenses", F.array_join("licenses", ","))
