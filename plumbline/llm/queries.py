@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, exact_dedup, license_scan, source_mix, token_files, url_filter
-from plumbline.llm.common import read_table
+from plumbline.llm import bpe, exact_dedup, language_id, license_scan, source_mix, token_files, url_filter
+from plumbline.llm.common import fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -128,3 +128,12 @@ _KNOWN = ", ".join("('%s', '%s')" % pair for pair in license_scan.KNOWN)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     found = license_scan.scan(read_table(spark, folder, "documents"))
     return found.withColumn("licenses", F.array_join("licenses", ","))
+
+
+@query("op4_language_id")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    models = language_id.learn(docs.where(fold("doc_id", 5) != 0))
+    found = language_id.identify(docs, models)
+    held_out = (fold("doc_id", 5) == 0).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score", "bits", "rejected")
