@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, exact_dedup, language_id, license_scan, source_mix, token_files, url_filter
+from plumbline.llm import bpe, embedding_dedup, exact_dedup, language_id, license_scan, source_mix, token_files, url_filter
 from plumbline.llm.common import fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,33 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     found = language_id.identify(docs, models)
     held_out = (fold("doc_id", 5) == 0).alias("held_out")
     return found.select("doc_id", held_out, "lang_pred", "score", "bits", "rejected")
+
+
+@query(
+    "op2_embedding_dedup",
+    """
+    WITH RECURSIVE v AS (
+      SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    ), usable AS (
+      SELECT vec_id, label, e FROM v
+      WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(e, lambda x: x != 0)) > 0
+    ), links AS (
+      SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+      ON a.label = b.label AND a.vec_id != b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+    ), reach (a, b) AS (
+      SELECT vec_id, vec_id FROM embeddings
+      UNION
+      SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+    ), low AS (
+      SELECT a, min(b) AS component_id FROM reach GROUP BY a
+    ), counted AS (
+      SELECT a, count(*) AS n FROM links GROUP BY a
+    )
+    SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+    FROM embeddings JOIN low ON vec_id = low.a LEFT JOIN counted ON vec_id = counted.a
+    """,
+)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read_table(spark, folder, "embeddings"))
