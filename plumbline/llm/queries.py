@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, embedding_dedup, exact_dedup, language_id, license_scan, source_mix, token_files, url_filter
+from plumbline.llm import bpe, embedding_dedup, exact_dedup, language_id, license_scan, near_dedup, source_mix, token_files, url_filter
 from plumbline.llm.common import fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read_table(spark, folder, "embeddings"))
+
+
+@query("op5_near_dedup")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_classes(read_table(spark, folder, "documents"))
