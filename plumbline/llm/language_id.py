@@ -271,3 +271,10 @@ def identify(docs: DataFrame, models: Models, id_column: str = "doc_id", text_co
     rows = docs.select(docs[id_column].alias("id"), whole_text(text_column).alias("text"))
     out = rows.mapInArrow(run, f"id {kind}, lang_pred string, score double, bits double, rejected boolean")
     return out.withColumnRenamed("id", id_column)
+
+
+def accepted(docs: DataFrame, models: Models, text_column: str = "text") -> DataFrame:
+    """The documents that are not rejected, in their own columns."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col(f"`{text_column}`").alias("text"))
+    return identify(rows, models, "row").where("not rejected").select("row.*")

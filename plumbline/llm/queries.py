@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, embedding_dedup, exact_dedup, language_id, license_scan, near_dedup, source_mix, token_files, url_filter
+from plumbline.llm import bpe, embedding_dedup, exact_dedup, language_id, license_scan, lm_scoring, near_dedup, source_mix, token_files, url_filter
 from plumbline.llm.common import fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +172,20 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_near_dedup")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_classes(read_table(spark, folder, "documents"))
+
+
+@query("op7_lm_scoring")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    scored = lm_scoring.score(docs, fold("doc_id", 7) != 2, vocabulary)
+    return scored.select(
+        "doc_id",
+        (~F.col("training")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+        "n_subwords",
+    )
