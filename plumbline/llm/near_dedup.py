@@ -9,7 +9,8 @@ frequent, cannot push an edited copy below the threshold.
 
 A text has ``BANDS`` * ``ROWS`` samples; texts that agree in all samples of a band share
 a bucket. At similarity 0.8 a pair shares none with probability 0.005. Every text of a
-bucket is compared with the bucket's leader; then every pair of a bucket that is not
+bucket is compared with the bucket's leader, the text whose buckets are the fullest; then
+every pair of a bucket that is not
 joined yet is compared, so a large group costs one comparison for each text and no link
 between different groups is lost. Pairs that cannot reach the threshold are left out by
 their total weights, and those whose samples agree too little to reach it (under 55 %;
@@ -260,8 +261,13 @@ def classes(
         lambda k: F.xxhash64(k, F.slice("samples", k * rows + 1, F.lit(rows))),
     )
     member = texts.select("key", F.explode(band).alias("bucket"))
-    sizes = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("leader")).where("n > 1")
-    member = checkpointed(member.join(sizes.drop("n"), "bucket"))
+    sizes = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    member = checkpointed(member.join(sizes, "bucket"))
+    # The leader is the text whose buckets are the fullest: the one that edited copies were made from, if any.
+    company = member.groupBy("key").agg(F.sum("n").alias("company"))
+    member = checkpointed(member.drop("n").join(company, "key"))
+    leaders = member.groupBy("bucket").agg(F.max(F.struct("company", "key"))["key"].alias("leader"))
+    member = checkpointed(member.drop("company").join(leaders, "bucket"))
     wanted = member.select("key").distinct().join(texts, "key")
     sets = checkpointed(_sets(docs, wanted.select("low.id", "low.raw", "key"), weights, id_column, text_column))
 

@@ -72,7 +72,7 @@ def cut_pieces(raw: np.ndarray, doc_begins: np.ndarray) -> np.ndarray:
 class SubwordEncoder:
     """Ids of texts from one byte-level vocabulary file."""
 
-    def __init__(self, path: str, plain_specials: bool = False):
+    def __init__(self, path: str, plain_specials: bool = False, cache_pieces: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -88,6 +88,7 @@ class SubwordEncoder:
         self.specials = [] if plain_specials else [t.content for t in added]
         (self.line_break,) = self._whole("\n")
         self.cache: dict[bytes, np.ndarray] = {}
+        self.cache_pieces = cache_pieces
 
     def _whole(self, text: str) -> np.ndarray:
         return self._ids(self.library, text)
@@ -140,7 +141,7 @@ class SubwordEncoder:
 
     def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array of unsigned 32-bit integers, and how many each text has."""
-        if len(self.cache) > CACHE_PIECES:
+        if len(self.cache) > self.cache_pieces:
             self.cache.clear()
         plain = [bool(_PLAIN.fullmatch(t)) and not any(s in t for s in self.specials) for t in texts]
         ids, counts = self._plain([t for t, p in zip(texts, plain) if p])
@@ -162,6 +163,6 @@ class SubwordEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, plain_specials: bool = False) -> SubwordEncoder:
+def encoder(path: str, plain_specials: bool = False, cache_pieces: int = CACHE_PIECES) -> SubwordEncoder:
     """One encoder for each worker process, so its cache outlives a task."""
-    return SubwordEncoder(path, plain_specials)
+    return SubwordEncoder(path, plain_specials, cache_pieces)
