@@ -12,10 +12,11 @@ a bucket. At similarity 0.8 a pair shares none with probability 0.005. Every tex
 bucket is compared with the bucket's leader, the text whose buckets are the fullest; then
 every pair of a bucket that is not
 joined yet is compared, so a large group costs one comparison for each text and no link
-between different groups is lost. Pairs that cannot reach the threshold are left out by
-their total weights, and those whose samples agree too little to reach it (under 55 %;
-at 0.8 that happens once in 100,000 pairs). The rest are compared by exact weighted
-Jaccard similarity. Links are joined into classes; texts with the same words are one
+between different groups is lost. A text is not compared with its leader if their total
+weights rule the threshold out, or their samples agree too little for it (under 55 %;
+at 0.8 that happens once in 100,000 pairs). All other comparisons are by exact weighted
+Jaccard similarity, those inside a bucket by tasks that get every set once and send on
+one link for each component that a text reaches. Links are joined into classes; texts with the same words are one
 text from the start.
 
 Results in the odd cases: a null, empty or blank text is a class of its own; a class is
@@ -31,6 +32,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,6 +49,8 @@ CELLS = 1 << CELL_BITS
 AGREE = 0.55
 #: Characters whose shingles are sampled together; small enough for a processor's cache.
 SLICE = 150_000
+#: Members of a bucket that ask and are asked in one group, and rows that one call gets, on average.
+ASKING, ASKED, ROWS_A_CALL = 256, 1024, 2000
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
@@ -233,6 +237,83 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return checkpointed(loaded.mapInArrow(run, "a binary, b binary"))
 
 
+def _linked(group: pd.DataFrame, threshold: float) -> Iterator[tuple[bytes, bytes]]:
+    """Links between the asking members of a group and the others; one for each component a member reaches."""
+    keys, labels = group["key"].to_numpy(), group["label"].to_numpy()
+    asks = np.flatnonzero(group["asks"].to_numpy())
+    asked = np.flatnonzero(group["asked"].to_numpy())
+    sets = [np.frombuffer(x, np.uint32) for x in group["shingles"]]
+    weights = [np.frombuffer(x, np.float32) for x in group["weights"]]
+    mass = np.array([w.sum(dtype=np.float64) for w in weights])
+    sizes = [len(sets[m]) for m in asked]
+    shingle = np.concatenate([sets[m] for m in asked])
+    owner, weight = np.repeat(np.arange(len(asked)), sizes), np.concatenate([weights[m] for m in asked])
+    order = np.argsort(shingle, kind="stable")
+    shingle, owner, weight = shingle[order], owner[order], weight[order]
+    for a in asks:
+        low = np.searchsorted(shingle, sets[a], "left")
+        n = np.searchsorted(shingle, sets[a], "right") - low
+        upto = np.cumsum(n)
+        at = np.arange(upto[-1]) + np.repeat(low - upto + n, n)
+        least = np.minimum(weight[at], np.repeat(weights[a], n))
+        shared = np.bincount(owner[at], weights=least, minlength=len(asked))
+        linked = asked[shared >= threshold * (mass[a] + mass[asked] - shared)]
+        linked = linked[labels[linked] != labels[a]]
+        if len(linked):
+            _, one = np.unique(labels[linked], return_index=True)
+            for m in linked[one]:
+                yield keys[a], keys[m]
+
+
+def _rest(member: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links between members of a bucket in different components (bucket, key, label).
+
+    Members outside the bucket's largest component ask all members. Askers and asked are cut
+    into slices, and each pair of slices is a group that one call holds and compares.
+    """
+    parts = member.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    tops = parts.groupBy("bucket").agg(
+        F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")
+    )
+    tops = tops.where("labels > 1").select(
+        "bucket",
+        F.col("top.label").alias("top"),
+        F.ceil(F.col("n") / ASKED).cast("int").alias("asked_slices"),
+        F.ceil((F.col("n") - F.col("top.n")) / ASKING).cast("int").alias("asking_slices"),
+    )
+    mixed = member.join(tops, "bucket")
+
+    def slices(own: str, other: str, asks: bool) -> DataFrame:
+        """Each member once for every slice of the other side."""
+        mine = F.pmod(F.xxhash64("key", "bucket"), own).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        side = mixed.where("label != top") if asks else mixed
+        i, j = ("mine", "every") if asks else ("every", "mine")
+        return side.select("bucket", "key", "label", mine.alias("mine"), every.alias("every")).select(
+            "bucket", "key", "label", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(asks).alias("asks")
+        )
+
+    both = slices("asking_slices", "asked_slices", True).unionByName(slices("asked_slices", "asking_slices", False))
+    both = both.groupBy("bucket", "i", "j", "key", "label").agg(
+        F.max("asks").alias("asks"), F.max(~F.col("asks")).alias("asked")
+    )
+    both = checkpointed(both)
+    calls = max(1, -(-both.count() // ROWS_A_CALL))
+    call = F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(calls)).cast("int")
+    loaded = both.withColumn("call", call).join(sets, "key")
+
+    def compared(part: pd.DataFrame) -> pd.DataFrame:
+        found = [
+            pair
+            for _, group in part.groupby(["bucket", "i", "j"], sort=False)
+            if group["asks"].any() and group["asked"].any()
+            for pair in _linked(group, threshold)
+        ]
+        return pd.DataFrame({"a": [x for x, _ in found], "b": [y for _, y in found]}, dtype=object)
+
+    return checkpointed(loaded.groupBy("call").applyInPandas(compared, "a binary, b binary"))
+
+
 def _alike(threshold: float):
     """Condition on the columns of a pair: what total weights and samples allow."""
     ratio = F.least("mass_a", "mass_b") >= F.lit(threshold * 0.999) * F.greatest("mass_a", "mass_b")
@@ -278,27 +359,10 @@ def classes(
     links = _verified(stars, sets, threshold)
     roots = components(links)
 
-    # What is left: pairs of a bucket in different components. Members of the bucket's largest
-    # component are not paired with each other, so a bucket of one component costs nothing.
+    # What is left: pairs of a bucket in different components.
     labelled = member.select("bucket", "key").join(roots.withColumnRenamed("node", "key"), "key", "left")
     labelled = checkpointed(labelled.select("bucket", "key", F.coalesce("root", "key").alias("label")))
-    parts = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    tops = parts.groupBy("bucket").agg(
-        F.max(F.struct("n", "label"))["label"].alias("top"), F.count(F.lit(1)).alias("labels")
-    )
-    mixed = labelled.join(tops.where("labels > 1").drop("labels"), "bucket")
-    full = texts.select("key", "mass", "samples")
-    mixed = checkpointed(mixed.join(full, "key"))
-    a = mixed.where("label != top").select(
-        "bucket", *[F.col(c).alias(c + "_a") for c in ("key", "label", "mass", "samples")]
-    )
-    b = mixed.select(
-        "bucket", "top", *[F.col(c).alias(c + "_b") for c in ("key", "label", "mass", "samples")]
-    )
-    once = (F.col("label_b") == F.col("top")) | (F.col("key_a") < F.col("key_b"))
-    rest = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("label_a") != F.col("label_b")) & once & _alike(threshold))
-    rest = rest.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
-    links = links.unionByName(_verified(rest, sets, threshold))
+    links = links.unionByName(_rest(labelled, sets, threshold))
     roots = components(links)
 
     named = texts.select("key", "low").join(roots.withColumnRenamed("node", "key"), "key", "left")
