@@ -41,7 +41,7 @@ ORDER = 5
 DOCS_PER_LANGUAGE = 400
 CALIBRATED = 0.999
 #: Bits a letter that every text may lie above the calibrated bound, and more for a short one.
-MARGIN, SHORT_MARGIN = 1.0, 12.0
+MARGIN, SHORT_MARGIN = 2.0, 60.0
 CACHE_WORDS = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 #: Symbols that begin and end a word; no letter has these codes.
@@ -103,6 +103,8 @@ class Models:
 
     def bits(self, words: list[str]) -> np.ndarray:
         """Bits of each word, with its end, under each language."""
+        if not self.languages:
+            return np.zeros((len(words), 0))
         codes, begins = _symbols(words)
         grams = _grams(codes, begins)
         p = np.repeat(self.floor[None, :], len(codes), axis=0)
