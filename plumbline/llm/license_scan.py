@@ -57,7 +57,7 @@ COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
 def canonical(text: Column) -> Column:
     """Lower case A-Z; no copyright lines; words of letters and digits, one space apart; equal spellings."""
     text = F.translate(text, UPPER, LOWER)
-    text = F.regexp_replace(text, COPYRIGHT, r"\n")
+    text = F.regexp_replace(text, COPYRIGHT, "\n")
     text = F.regexp_replace(text, r"[^0-9a-z\x{80}-\x{10FFFF}]+", " ")
     text = F.regexp_replace(text, r"\bv([0-9])", "version $1")
     for other, spelling in SPELLINGS:
