@@ -131,7 +131,8 @@ def pair_data(spark: SparkSession, folder: str) -> DataFrame:
     SELECT slice, column_name, count(CASE WHEN gone THEN 1 END) AS missing_count,
            round(count(CASE WHEN gone THEN 1 END) / CAST(count(*) AS DOUBLE), 6) AS missing_rate
     FROM (
-      SELECT slice, 'user_id' AS column_name, user_id IS NULL AS gone FROM sliced
+      SELECT slice, 'event_id' AS column_name, event_id IS NULL AS gone FROM sliced
+      UNION ALL SELECT slice, 'user_id', user_id IS NULL FROM sliced
       UNION ALL SELECT slice, 'ts', ts IS NULL FROM sliced
       UNION ALL SELECT slice, 'event_type',
         event_type IS NULL OR lower(trim(event_type)) IN ('', 'na', 'null', 'n/a') FROM sliced

@@ -216,6 +216,20 @@ def score_batch(spark: SparkSession, folder: str) -> DataFrame:
     return ops.score(model, unlabelled, ["split_key"])
 
 
+# Training leaves out rows without the feature; scoring keeps them, with no prediction.
+GAPS = LINE.replace("SELECT *, CAST", """SELECT split_key, l_extendedprice,
+             CASE WHEN l_linenumber != 3 THEN l_quantity END AS l_quantity, CAST""")
+
+
+@query(GAPS.replace("WHERE NOT is_test)", "WHERE NOT is_test AND l_quantity IS NOT NULL)") + """
+    SELECT split_key, round(my + slope * (l_quantity - mx), 3) AS prediction FROM m, s WHERE is_test""")
+def score_missing_features(spark: SparkSession, folder: str) -> DataFrame:
+    gaps = {"l_quantity": F.expr("CASE WHEN l_linenumber != 3 THEN l_quantity END")}
+    train, test = (rows.withColumns(gaps) for rows in _data(spark, folder))
+    model = ops.fit_regressor("Generalized Linear Regression", train, ["l_quantity"], "l_extendedprice")
+    return rounded(ops.score(model, test, ["split_key"]), ["prediction"], 3)
+
+
 @query()
 def score_probabilities(spark: SparkSession, folder: str) -> DataFrame:
     model, test = _flag_model(spark, folder)

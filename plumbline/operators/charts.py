@@ -22,9 +22,9 @@ PAIRS_PER_PASS = 100
 
 
 def bin_of(value: Column, low: Column, high: Column, bins: int) -> Column:
-    """Equal-width bin number; the highest value falls in the last bin."""
+    """Equal-width bin number; the highest value falls in the last bin, NULL in none."""
     place = F.floor(F.try_divide(value - low, (high - low) / F.lit(float(bins))))
-    return F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)).cast("int")
+    return F.when(value.isNotNull(), F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)).cast("int"))
 
 
 def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
@@ -152,18 +152,16 @@ def scatter_density(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
 def pair_data(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 20, grid: int = 50) -> DataFrame:
     """Point density of each column pair and the density curve of each column.
 
-    Takes the first five numeric columns unless told otherwise. ``value`` is a row
+    Takes all numeric columns unless told otherwise. ``value`` is a row
     count off the diagonal and a density on it, where ``y_bin`` is NULL.
     """
-    columns = list(columns or numeric_columns(df)[:5])
+    columns = list(columns or numeric_columns(df))
     values = df.select(*(number(df, c).alias(f"v{i}") for i, c in enumerate(columns)))
     ends = {f"{e}{i}": f(f"v{i}") for i in range(len(columns)) for e, f in (("lo", F.min), ("hi", F.max))}
     reach = table_stats(values, **ends)
     binned = values.select(
         *(
-            F.when(F.col(f"v{i}").isNotNull(), bin_of(F.col(f"v{i}"), reach[f"lo{i}"], reach[f"hi{i}"], bins)).alias(
-                f"b{i}"
-            )
+            bin_of(F.col(f"v{i}"), reach[f"lo{i}"], reach[f"hi{i}"], bins).alias(f"b{i}")
             for i in range(len(columns))
         )
     )
@@ -178,13 +176,12 @@ def pair_data(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 2
             for i, j in combinations(range(len(columns)), 2)
         )
     )
-    # Merged per bin combination before the pairs are laid out.
-    merged = binned.groupBy(*binned.columns).agg(F.count(F.lit(1)).alias("n"))
+    # Each task merges to at most bins x bins rows for each pair before the shuffle.
     density = (
-        merged.select("n", F.inline(cells))
+        binned.select(F.inline(cells))
         .where(F.col("x_bin").isNotNull() & F.col("y_bin").isNotNull())
         .groupBy("x", "y", "x_bin", "y_bin")
-        .agg(F.sum("n").cast("double").alias("value"))
+        .agg(F.count(F.lit(1)).cast("double").alias("value"))
     )
     diagonal = [
         kde(df, c, grid).select(
@@ -200,10 +197,13 @@ def pair_data(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 2
 
 
 def missing_matrix(df: DataFrame, order_column: str, buckets: int = 50) -> DataFrame:
-    """Share of missing cells per column and slice of the table, slices along a numeric column."""
+    """Share of missing cells per column and slice of the table, slices along a numeric column.
+
+    Rows without a value in that column are slice NULL.
+    """
     place = number(df, order_column)
     reach = table_stats(df, low=F.min(place), high=F.max(place))
-    fields = [f for f in df.schema.fields if f.name != order_column]
+    fields = df.schema.fields
     rates = F.array(
         *(
             F.struct(
@@ -229,28 +229,28 @@ def _top_categories(df: DataFrame, category: str, n: int) -> list[object]:
 def violin_data(
     df: DataFrame, category: str, value: str, top_n: int = 20, grid: int = 50, bins: int = 200
 ) -> DataFrame:
-    """Density curve and quartiles of a value for each of the top categories."""
+    """Density curve and quartiles of a value for each of the top categories.
+
+    A category whose values are all equal, or has one or none, is one row with a NULL curve.
+    """
     top = _top_categories(df, category, top_n)
-    rows = (
-        df.where(named(category).isin(*top))
-        .select(named(category).alias("category"), number(df, value).alias("v"))
-        .where(F.col("v").isNotNull())
-    )
+    every = df.where(named(category).isin(*top)).select(named(category).alias("category"), number(df, value).alias("v"))
+    rows = every.where(F.col("v").isNotNull())
     quartiles = group_quantiles(rows, "category", "v", [0.25, 0.5, 0.75])
     # One row for each of at most top_n categories: safe to broadcast.
-    shapes = F.broadcast(rows.groupBy("category").agg(*(e.alias(n) for n, e in _shape(F.col("v")).items())))
+    shapes = every.groupBy("category").agg(*(e.alias(n) for n, e in _shape(F.col("v")).items()))
     points = (
-        rows.join(shapes, "category")
+        rows.join(F.broadcast(shapes), "category")
         .groupBy("category", "low", "high", "spread", "total", bin_of(F.col("v"), F.col("low"), F.col("high"), bins))
         .agg(F.count(F.lit(1)).alias("weight"), F.avg("v").alias("at"))
     )
-    curve = _curve(points, ["category", "total"], grid)
+    curve = shapes.select("category", "total").join(_curve(points, ["category"], grid), "category", "left")
 
     # The quartiles of at most top_n categories travel as a small constant map.
     by_category = F.create_map(
         *(x for t, q in quartiles.items() for x in (F.lit(t), F.array(*(F.lit(v) for v in q))))
     )
-    quartile = F.try_element_at(by_category, F.col("category"))
+    quartile = F.try_element_at(by_category, F.col("category")) if quartiles else F.lit(None).cast("array<double>")
     return curve.select(
         "category",
         F.col("total").alias("n_values"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
 
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import (
@@ -23,7 +24,7 @@ from pyspark.ml.regression import (
     LinearRegression,
     RandomForestRegressor,
 )
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import categorical_columns, named, number
@@ -243,15 +244,29 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def _scored(model: PipelineModel, df: DataFrame) -> tuple[DataFrame, Column]:
+    """Every row with the model's outputs, and whether the row has all number features they need."""
+    stages = [s.copy().setHandleInvalid("keep") if isinstance(s, VectorAssembler) else s for s in model.stages]
+    inputs = next(s for s in stages if isinstance(s, VectorAssembler)).getInputCols()
+    complete = reduce(Column.__and__, (number(df, c).isNotNull() for c in inputs if c in df.columns), F.lit(True))
+    return PipelineModel(stages).transform(df), complete
+
+
 def score(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Prediction, and for a classifier the decoded label, for every row of any table."""
-    scored = model.transform(df)
+    """Prediction, and for a classifier the decoded label, for every row of any table.
+
+    Both are NULL where a number feature is missing; a text that training never saw is a value of its own.
+    """
+    scored, complete = _scored(model, df)
     extra = [c for c in ("prediction", "predicted_label") if c in scored.columns]
-    return scored.select(*(named(c) for c in keep), *extra)
+    return scored.select(*(named(c) for c in keep), *(F.when(complete, F.col(c)).alias(c) for c in extra))
 
 
 def score_probabilities(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """One row per input row and class, with the class name and its probability."""
+    """One row per input row and class, with the class name and its probability, NULL where ``score`` has none."""
+    scored, complete = _scored(model, df)
     names = F.array(*(F.lit(x) for x in _labels(model)))
-    chances = F.arrays_zip(names.alias("class_label"), vector_to_array("probability").alias("probability"))
-    return model.transform(df).select(*(named(c) for c in keep), F.inline(chances))
+    chances = F.arrays_zip(names.alias("class_label"), vector_to_array("probability").alias("chance"))
+    rows = scored.select(*(named(c) for c in keep), complete.alias("complete_"), F.inline(chances))
+    chance = F.when(F.col("complete_"), F.col("chance")).alias("probability")
+    return rows.select(*(named(c) for c in keep), "class_label", chance)

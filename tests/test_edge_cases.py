@@ -242,3 +242,30 @@ def test_csv_roundtrip(spark, tmp_path):
     assert rows(read_csv(spark, f"{tmp_path}/t.csv", schema="a int, b double, c string", nrows=1, order_by=["a"])) == [
         (1, 2.5, "x")
     ]
+
+
+def test_violin_keeps_categories_without_a_curve(spark):
+    rows = [("a", float(i)) for i in range(9)] + [("b", 4.0)] * 3 + [("c", 1.0), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    found = charts.violin_data(df, "k", "v", grid=5)
+    flat = {r["category"]: r for r in found.where("density IS NULL").collect()}
+    assert found.where("category = 'a'").count() == 5
+    assert {k: (r["n_values"], r["median"], r["x"]) for k, r in flat.items()} == {
+        "b": (3, 4.0, None), "c": (1, 1.0, None), "d": (0, None, None)
+    }
+    assert charts.violin_data(df.limit(0), "k", "v").collect() == []
+
+
+def test_missing_matrix_has_a_slice_of_rows_without_order(spark):
+    df = spark.createDataFrame([(0, "x"), (10, None), (None, "y"), (None, None)], "at int, v string")
+    found = {(r["slice"], r["column_name"]): r["missing_count"] for r in charts.missing_matrix(df, "at", 2).collect()}
+    assert found == {
+        (0, "at"): 0, (0, "v"): 0, (1, "at"): 0, (1, "v"): 1, (None, "at"): 2, (None, "v"): 1
+    }
+
+
+def test_pair_data_takes_every_numeric_column(spark):
+    df = spark.createDataFrame([tuple(range(i, i + 6)) for i in range(9)], [f"c{i}" for i in range(6)])
+    found = charts.pair_data(df, bins=3, grid=4)
+    assert found.where("x != y").agg({"value": "sum"}).first()[0] == 15 * 9
+    assert found.where("x = y").select("x").distinct().count() == 6

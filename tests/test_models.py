@@ -140,3 +140,16 @@ def test_registered_scoring_covers_every_row(spark, folder, data, name):
     train, test = data
     expected = {"score_batch": train.count() + test.count(), "score_probabilities": 3 * test.count()}
     assert QUERIES[name](spark, folder).count() == expected.get(name, test.count())
+
+
+def test_scoring_keeps_rows_that_lack_a_feature(spark):
+    rows = [(i, float(i % 7) if i % 10 else None, "uv"[i % 2], float(i % 7 > 3), i * 1.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, x double, t string, label double, y double")
+    model = models.fit_classifier("Decision Tree", df, ["x", "t"], "label", models.BINARY)
+    found = models.score(model, df, ["id", "x"]).collect()
+    assert len(found) == 200
+    assert all((r["prediction"] is None) == (r["predicted_label"] is None) == (r["x"] is None) for r in found)
+    chances = models.score_probabilities(model, df, ["id"])
+    assert chances.count() == 400 and chances.where("probability IS NULL").count() == 40
+    line = models.fit_regressor("Linear Regression", df, ["x"], "y")
+    assert models.score(line, df, ["id"]).where("prediction IS NULL").count() == 20

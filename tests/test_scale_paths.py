@@ -200,3 +200,12 @@ def test_binned_density_curve_is_close_to_the_exact_one(spark):
     exact = np.exp(-0.5 * z**2).sum(axis=1) / (len(values) * width * np.sqrt(2 * np.pi))
     assert np.abs(curve["density"] - exact).max() < 1e-4 * exact.max()
     assert abs(np.trapezoid(curve["density"], curve["x"]) - 1) < 1e-3
+
+
+def test_few_order_values_still_give_even_buckets(spark):
+    df = spark.range(100_000).select((F.col("id") % 10).alias("day"), F.col("id").alias("event"))
+    sizes = [r["count"] for r in ordering.with_bucket(df, ["day"], 16).groupBy(ordering.BUCKET).count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 4 * 100_000 / 16
+    days = ordering.with_bucket(df, ["day"], 16).groupBy(ordering.BUCKET).agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    spans = [(r["a"], r["b"]) for r in days.orderBy(ordering.BUCKET).collect()]
+    assert all(before[1] <= after[0] for before, after in zip(spans, spans[1:]))
