@@ -50,6 +50,16 @@ VIEWS = {
           l_quantity, l_extendedprice, l_discount, l_tax, l_linenumber, l_returnflag, l_linestatus,
           CAST(CASE WHEN l_extendedprice > 50000 THEN 1 ELSE 0 END AS double) AS label
         FROM {lineitem}""",
+    # Targets without noise, so that SQL can state what a learner must find among the features.
+    "step_lineitem": """
+        SELECT concat(cast(l_orderkey AS varchar(20)), '|', cast(l_partkey AS varchar(20)), '|',
+                      cast(l_suppkey AS varchar(20)), '|', cast(l_linenumber AS varchar(20))) AS split_key,
+          l_quantity, l_discount, l_tax, l_linenumber, l_returnflag, l_linestatus,
+          concat('class ', l_returnflag) AS flag_class,
+          CAST(CASE WHEN l_linenumber > 3 THEN 1 ELSE 0 END AS double) AS step,
+          CAST(CASE WHEN l_linenumber <= 2 THEN 0 WHEN l_linenumber <= 4 THEN 1 ELSE 2 END AS double) AS grade,
+          CAST(l_linenumber * l_linenumber AS double) AS amount
+        FROM {lineitem}""",
 }
 TABLES = ("events", "orders", "customer", "part", "lineitem")
 

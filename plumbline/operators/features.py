@@ -259,7 +259,7 @@ def assemble(
 
 
 def target_indexer(df: DataFrame, target: str, output: str | None = None) -> StringIndexer:
-    """Estimator for ``<target>_idx``: text by falling frequency, numbers in their order.
+    """Estimator for ``<target>_idx``: text by falling frequency, numbers in the order of their text.
 
     Rows without a target cannot train a model and are skipped.
     """

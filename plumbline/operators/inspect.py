@@ -20,7 +20,6 @@ from plumbline.functions.columns import (
     type_class,
 )
 from plumbline.operators.duplicates import duplicate_summary
-from plumbline.plans.ordering import first_rows
 from plumbline.plans.stats import one_row_per
 
 
@@ -29,7 +28,8 @@ def shape(df: DataFrame) -> DataFrame:
 
 
 def preview(df: DataFrame, order_by: Sequence[str], n: int = 10) -> DataFrame:
-    return first_rows(df, order_by, n)
+    """The first rows to look at, sorted: a top-k, so ``n`` is a page and not a share of the table."""
+    return df.orderBy(*(named(c).asc_nulls_first() for c in order_by)).limit(n)
 
 
 def schema_listing(df: DataFrame) -> DataFrame:

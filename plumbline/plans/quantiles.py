@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import named, number
 
-SMALL_ROWS = 1_000_000
+#: Rows strictly inside a bracket when its value counts are read off; wider ones are narrowed first.
+SMALL_ROWS = 20_000
 SAMPLE_ROWS = 4_000_000
 SKETCH_ACCURACY = 10_000
 MAX_ROUNDS = 60
@@ -74,8 +75,14 @@ class _Rank:
         return test
 
 
+def _inside(values: DataFrame, ranks: list[_Rank]) -> DataFrame:
+    """The rows of any of the brackets; after the first round few blocks of a columnar source hold some."""
+    return values.where(reduce(Column.__or__, (r.holds() for r in ranks)))
+
+
 def _propose(values: DataFrame, ranks: list[_Rank], sample_rows: int, seed: int) -> list[tuple[float, float]]:
     fraction = min(1.0, sample_rows / min(r.inside for r in ranks))
+    values = _inside(values, ranks)
     sample = values if fraction == 1.0 else values.sample(False, fraction, seed)
     sketches = []
     for i, rank in enumerate(ranks):
@@ -101,7 +108,7 @@ def _verify(values: DataFrame, ranks: list[_Rank], proposals: list[tuple[float,
             F.count_if(held & (value <= F.lit(high))).alias(f"upto{i}"),
             F.count_if(held & (value > F.lit(low)) & (value < F.lit(high))).alias(f"between{i}"),
         ]
-    row = values.agg(*counts).first()
+    row = _inside(values, ranks).agg(*counts).first()
     for i, (rank, (low, high)) in enumerate(zip(ranks, proposals)):
         end = rank.below + rank.inside
         below, upto = rank.below + row[f"less{i}"], rank.below + row[f"upto{i}"]

@@ -81,13 +81,28 @@ def test_running_totals(hot, buckets):
 @pytest.mark.parametrize("buckets", [None, 1, 5, 40])
 def test_first_rows(hot, buckets):
     df, frame = hot
-    got = [r["id"] for r in ordering.first_rows(df, ["at", "id"], 777, heap_rows=10, buckets=buckets).collect()]
+    got = [r["id"] for r in ordering.first_rows(df, ["at", "id"], 777, buckets=buckets).collect()]
     assert sorted(got) == sorted(frame.sort_values(["at", "id"])["id"].head(777))
 
 
 def test_first_rows_of_one_hot_value(spark):
     df = spark.range(500).select("id", F.lit(1).alias("at"))
-    assert ordering.first_rows(df, ["at"], 60, heap_rows=5, buckets=8).count() == 60
+    assert ordering.first_rows(df, ["at"], 60, buckets=8).count() == 60
+
+
+def test_first_rows_of_few_and_no_rows(spark):
+    df = spark.range(30)
+    assert ordering.first_rows(df, ["id"], 100).count() == 30
+    assert ordering.first_rows(df.where("id < 0"), ["id"], 5).count() == 0
+
+
+def test_plan_does_not_grow_with_buckets(hot):
+    df, _ = hot
+    sizes = [
+        len(ordering.with_bucket(df, ["at", "id"], n).where(F.col(ordering.BUCKET) < 3)._jdf.queryExecution().executedPlan().toString())
+        for n in (16, 800)
+    ]
+    assert sizes[1] < 60 * sizes[0] and sizes[1] < 200_000
 
 
 def test_row_cap_keeps_all_for_zero_or_none(spark):
@@ -131,12 +146,11 @@ def test_group_quantiles(hot):
         assert np.allclose(got[key], np.quantile(rows["at"], [0.25, 0.5]))
 
 
-def test_attach_of_a_table_that_is_not_small(spark, monkeypatch):
+def test_attach_gives_the_rows_of_a_plain_join(spark, monkeypatch):
     hot = F.when(F.rand(2) < 0.34, F.lit(7)).when(F.rand(3) < 0.3, None).otherwise(F.col("id") % 80)
     df = spark.range(4_000).select("id", hot.alias("key")).cache()
     table = spark.range(60).select(F.col("id").alias(lookup.VALUE), (F.col("id") * 2).alias("twice"))
-    small = lookup.attach(df, "key", table, "twice", F.abs(F.col(lookup.VALUE) - 7).asc())
-    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 10)
+    small = df.join(table, df["key"] == F.col(lookup.VALUE), "left").drop(lookup.VALUE)
     monkeypatch.setattr(lookup, "HOT_VALUES", 4)
     large = lookup.attach(df, "key", table, "twice", F.abs(F.col(lookup.VALUE) - 7).asc())
     assert small.columns == large.columns == ["id", "key", "twice"]
@@ -146,9 +160,7 @@ def test_attach_of_a_table_that_is_not_small(spark, monkeypatch):
 
 
 def test_salted_rows_are_spread(spark, monkeypatch):
-    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 1)
     monkeypatch.setattr(lookup, "HOT_VALUES", 1)
-    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 1)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
     try:
