@@ -94,12 +94,12 @@ def candidate_features(spark: SparkSession, folder: str) -> DataFrame:
 
 def _described(column: str, is_number: bool) -> str:
     value = f"CAST({column} AS DOUBLE)" if is_number else "CAST(NULL AS DOUBLE)"
-    text = "CAST(NULL AS VARCHAR)" if is_number else column
+    text = "CAST(NULL AS VARCHAR)" if is_number and not column.endswith(("key", "number")) else column
     return f"""
     SELECT '{column}' AS column_name, count({column}) AS filled,
            round(avg({value}), 6) AS mean, round(stddev_samp({value}), 6) AS stddev,
            min({value}) AS min_number, max({value}) AS max_number,
-           min({text}) AS min_text, max({text}) AS max_text FROM lineitem"""
+           CAST(min({text}) AS VARCHAR) AS min_text, CAST(max({text}) AS VARCHAR) AS max_text FROM lineitem"""
 
 
 @query(" UNION ALL ".join(

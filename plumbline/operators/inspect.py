@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.columns import (
     CATEGORICAL,
@@ -87,14 +88,19 @@ def feature_listing(df: DataFrame, target: str) -> DataFrame:
 
 
 def describe(df: DataFrame) -> DataFrame:
-    """Count, mean, stddev, min and max of every numeric and text column in one pass."""
+    """Count, mean, stddev, min and max of every numeric and text column in one pass.
+
+    Integers and decimals beyond a double's precision have their exact ends as text.
+    """
     entries = []
     for field in df.schema.fields:
         kind = type_class(field.dataType)
         if kind == NUMERIC:
             value, text = number(df, field.name), F.lit(None).cast("string")
+            exact = named(field.name) if not isinstance(field.dataType, (T.DoubleType, T.FloatType)) else text
         elif kind == CATEGORICAL:
             value, text = F.lit(None).cast("double"), named(field.name)
+            exact = text
         else:
             continue
         entries.append(
@@ -105,8 +111,8 @@ def describe(df: DataFrame) -> DataFrame:
                 F.stddev(value).alias("stddev"),
                 F.min(value).alias("min_number"),
                 F.max(value).alias("max_number"),
-                F.min(text).alias("min_text"),
-                F.max(text).alias("max_text"),
+                F.min(exact).cast("string").alias("min_text"),
+                F.max(exact).cast("string").alias("max_text"),
             ]
         )
     return one_row_per(df, entries)

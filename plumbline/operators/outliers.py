@@ -67,9 +67,6 @@ def fence(
 def detect(df: DataFrame, column: str, method: str = "iqr", **options: float) -> DataFrame:
     """The outlying rows. Rows with no value, or a column without spread, have none."""
     limits = fence(df, column, method, **options)
-    if method == "zscore":
-        score = F.abs(F.try_divide(number(df, column) - limits.mean, limits.stddev))
-        return df.where(score > limits.threshold)
     return _compared(df, column, limits.outside(named(column)))
 
 
@@ -134,8 +131,9 @@ def log_transform(df: DataFrame, column: str) -> DataFrame:
 
 
 def invalid_min(df: DataFrame, column: str, minimum: float) -> DataFrame:
-    """How many rows lie at or below the minimum, above it, or have no value."""
-    x = number(df, column)
+    """How many rows lie at or below the minimum, above it, or have no value; whole numbers compare as such."""
+    floating = isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType))
+    x = number(df, column) if floating else named(column)
     return df.agg(
         F.count_if(x <= minimum).alias("invalid_count"),
         F.count_if(x > minimum).alias("valid_count"),

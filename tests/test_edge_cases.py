@@ -269,3 +269,16 @@ def test_pair_data_takes_every_numeric_column(spark):
     found = charts.pair_data(df, bins=3, grid=4)
     assert found.where("x != y").agg({"value": "sum"}).first()[0] == 15 * 9
     assert found.where("x = y").select("x").distinct().count() == 6
+
+
+def test_large_whole_numbers_keep_their_ends(spark):
+    df = spark.createDataFrame([(9007199254740993,), (9007199254740992,), (None,)], "n bigint")
+    row = inspect.describe(df).first()
+    assert (row["min_text"], row["max_text"]) == ("9007199254740992", "9007199254740993")
+    assert outliers.invalid_min(df, "n", 9007199254740992).first()[:] == (1, 1, 1)
+
+
+def test_zscore_finds_what_it_removes(spark):
+    df = spark.createDataFrame([(float(x),) for x in [*range(50), 900, -700]] + [(float("nan"),), (None,)], "x double")
+    found, left = outliers.detect(df, "x", "zscore"), outliers.remove(df, "x", "zscore")
+    assert found.count() > 0 and found.count() + left.count() == df.count()
