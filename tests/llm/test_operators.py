@@ -259,3 +259,56 @@ def test_pipeline(spark, folder):
 
     rows = corpus_pipeline.run(spark, folder).collect()
     assert rows and all(len(r["ids"]) == 4 * r["n_tokens"] for r in rows)
+
+
+def test_lm_counts_pairs_across_words_of_all_documents(spark, folder, monkeypatch):
+    rows = [(i, f"alpha{i % 3} beta{i % 3}", True) for i in range(300)] + [(900, "alpha1 beta1", False), (901, "alpha1 beta2", False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, t boolean")
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(docs, F.col("t"), BYTES).where("doc_id >= 900").collect()}
+    assert got[900] > got[901]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    counts = lm_scoring.corpus_counts(docs, BYTES).collect()
+    held = lm_scoring.Subwords(BYTES)
+    want = collections.Counter()
+    for r in docs.collect():
+        ids, _ = held.sequences(lm_scoring.words_of([r["text"] or ""]), held.size - 1)
+        want.update(zip([held.size - 1, *ids[:-1].tolist()], ids.tolist()))
+    assert {divmod(r["key"], held.size): r["n"] for r in counts if r["kind"] == lm_scoring.PAIR} == want
+    # Pairs that tasks hold and pairs that are joined count alike.
+    held_out = F.col("doc_id") % 5 != 2
+    one = {r["doc_id"]: r["score"] for r in lm_scoring.score(docs, held_out, BYTES).collect()}
+    monkeypatch.setattr(lm_scoring, "HOT_PAIRS", 0)
+    two = {r["doc_id"]: r["score"] for r in lm_scoring.score(docs, held_out, BYTES).collect()}
+    assert all(math.isclose(one[k], two[k], rel_tol=1e-6) for k in one)
+
+
+def test_lm_gradient_of_all_windows(spark):
+    texts = ["the cat sat on the mat", "and then some more of it " * 20, "", "mat cat"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    held = lm_scoring.Subwords(BYTES)
+    end = held.size - 1
+    ids, sizes = held.sequences(lm_scoring.words_of(texts), end)
+    model = lm_scoring.fresh(ids, sizes, np.arange(held.size) % 2 == 0, end, np.random.default_rng(0))
+    grad, n = lm_scoring.corpus_gradient(docs, model, BYTES, end)
+    assert n == len(ids)
+
+    def loss(bias):
+        model.bias = bias
+        return -sum(
+            math.log(p)
+            for text in texts
+            for p in _class_chances(model, *held.sequences(lm_scoring.words_of([text]), end), end)
+        )
+
+    step = np.zeros(lm_scoring.CLASSES, np.float32)
+    step[model.group[end]] = 1e-2
+    bias = model.bias
+    slope = (loss(bias + step) - loss(bias - step)) / 2e-2
+    assert math.isclose(slope, grad["bias"][model.group[end]], rel_tol=2e-2, abs_tol=1e-2)
+
+
+def _class_chances(model, ids, sizes, end):
+    inputs, depth, targets = lm_scoring.windows(ids, sizes, end)
+    z = np.exp(lm_scoring._forward(model, inputs, depth)[-1])
+    z /= z.sum(axis=1, keepdims=True)
+    return z[np.arange(len(ids)), model.group[targets.reshape(-1)[: len(ids)]]].tolist()
