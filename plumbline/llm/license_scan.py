@@ -5,6 +5,10 @@ case, without punctuation, copyright lines and differences of spelling. Whole te
 and their single lines, are put into that form, hashed, and joined by hash with the
 digests of known licence texts and notices. The table of known texts is given by the
 caller and has a known size, so it is broadcast; matches are gathered for each document.
+However the lines are wrapped, a notice is also found as a run of whole lines, and a
+whole licence text (folder ``license_texts``, with its title or without, with its appendix
+or without) as a run of words. For these runs a line that begins with "copyright" or
+"(c)" as a licence text goes on is no copyright line.
 
 Results in the odd cases: a null or empty text has no match; a text that has nothing
 but copyright lines has an empty form, which never matches; each licence counts once for
@@ -15,6 +19,9 @@ Only id and text are read, so extra columns cannot clash.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +54,14 @@ KNOWN = [
         "hereby granted.",
     ),
 ]
+#: Titles that may stand above a licence text.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "ISC": ["ISC License"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License"],
+}
 #: Spellings that count as equal, each written as the second one.
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("noncommercial", "non commercial"), ("v", "version")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -65,32 +80,99 @@ def canonical(text: Column) -> Column:
     return F.trim(text)
 
 
+def texts() -> list[tuple[str, str]]:
+    """Whole licence texts by licence, each without what may be left out: its appendix, its title."""
+    out = []
+    for file in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        body = file.read_text()
+        bodies = [body, re.split(r"END OF TERMS AND CONDITIONS", body)[0], re.split(r"\nExhibit A - ", body)[0]]
+        if file.stem.startswith("BSD-"):  # clauses behind bullets, and the holder called owner
+            bodies.append(re.sub(r"(?m)^\s*[0-9]\. ", "* ", body))
+            bodies += [re.sub(r"(COPYRIGHT\s+)HOLDER OR", r"\1OWNER OR", b) for b in bodies]
+        bodies += [f"{title}\n\n{b}" for title in TITLES.get(file.stem, []) for b in bodies]
+        out += [(file.stem, b) for b in dict.fromkeys(bodies)]
+    return out
+
+
+def lines_form(text: Column, going_on: list[str]) -> Column:
+    """Canonical lines, each between line breaks; no blank lines, no copyright lines.
+
+    going_on: words that stand behind "copyright" in known texts.
+    """
+    words = "|".join(going_on) or "$^"
+    notice = rf"(^|\n)[ \t]*(copyright(?=[ \t:]+\S|[(©0-9])(?![ \t]+({words})\b)|\(c\)(?=[ \t]*([0-9]|copyright))|©)[^\n]*"
+    text = F.regexp_replace(F.translate(text, UPPER, LOWER), notice, "\n")
+    text = F.regexp_replace(text, r"[^0-9a-z\x{80}-\x{10FFFF}\n]+", " ")
+    text = F.regexp_replace(text, r"\bv([0-9])", "version $1")
+    for other, spelling in SPELLINGS:
+        text = F.regexp_replace(text, rf"\b{other}\b", spelling)
+    return F.regexp_replace(F.concat(F.lit("\n"), text, F.lit("\n")), r" ?\n[ \n]*", "\n")
+
+
 def digest(text: Column) -> Column:
     return F.sha2(F.encode(canonical(text), "utf-8"), 256)
 
 
 def scan(docs: DataFrame, known=None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per document: id, license_of_text (the whole text is that licence) and licenses (of text or lines, sorted)."""
-    table = docs.sparkSession.createDataFrame(list(known or KNOWN), "license string, body string")
+    """Per document: id, license_of_text (the whole text is that licence) and licenses (of text or parts, sorted).
+
+    known: licences and notices in place of ``KNOWN`` and the whole licence texts.
+    """
+    spark, notices, bodies = docs.sparkSession, list(known or KNOWN), [] if known else texts()
+    table = spark.createDataFrame(notices, "license string, body string")
     table = table.where(canonical(F.col("body")) != "").select("license", digest(F.col("body")).alias("digest"))
     table = table.groupBy("digest").agg(F.min("license").alias("license"))
+    going_on = sorted({w for _, b in [*notices, *bodies] for w in re.findall(r"copyright\s+([a-z]+)\b", b.lower())})
+    forms = spark.createDataFrame([*notices, *bodies], "license string, body string")
+    forms = forms.select("license", F.translate(lines_form(F.col("body"), going_on), "\n", " ")).collect()
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(f"`{id_column}`").alias("id"), whole_text(text_column).alias("text")
     )
+    lines = lines_form(F.col("text"), going_on).alias("lines")
+    runs = rows.select("row", "id", "text", lines).withColumn("flat", F.translate("lines", "\n", " "))
+
+    def licence(k: int, whole: bool) -> Column:
+        name, form = forms[k]
+        if whole:
+            found = F.col("flat") == form
+        else:
+            found = F.col("flat").contains(form)
+            if k < len(notices):  # of whole lines
+                found = found & F.col("lines").rlike("\n" + r"[ \n]".join(map(re.escape, form.split())) + "\n")
+        return F.when(found, F.lit(name))
+
+    # A form of nothing never matches.
+    some = [k for k, (_, form) in enumerate(forms) if form.strip()]
+    runs = runs.select(
+        "row",
+        "id",
+        "text",
+        F.array_compact(F.array(*(licence(k, True) for k in some))).cast("array<string>").alias("of_text"),
+        F.array_compact(F.array(*(licence(k, False) for k in some))).cast("array<string>").alias("of_runs"),
+    )
+    none = F.lit(None).cast("array<string>")
     # Copyright lines only matter to whole texts, which are as long as a licence has lines.
-    units = F.concat(
-        F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("body"))),
-        F.transform(F.split("text", r"\n"), lambda line: F.struct(F.lit(False).alias("whole"), line.alias("body"))),
+    line = F.transform(
+        F.split("text", r"\n"),
+        lambda line: F.struct(
+            F.lit(False).alias("whole"), line.alias("body"), none.alias("of_text"), none.alias("of_runs")
+        ),
     )
-    units = rows.select("row", "id", F.explode(units).alias("unit")).select(
-        "row", "id", "unit.whole", digest(F.col("unit.body")).alias("digest")
+    units = F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("body"), "of_text", "of_runs")), line)
+    units = runs.select("row", "id", F.explode(units).alias("unit")).select(
+        "row", "id", "unit.whole", "unit.of_text", "unit.of_runs", digest(F.col("unit.body")).alias("digest")
     )
     found = units.join(F.broadcast(table), "digest", "left")
     return (
         found.groupBy("row", "id")
         .agg(
-            F.min(F.when(F.col("whole"), F.col("license"))).alias("license_of_text"),
-            F.sort_array(F.collect_set("license")).alias("licenses"),
+            F.min(F.when(F.col("whole"), F.least("license", F.array_min("of_text")))).alias("license_of_text"),
+            F.collect_set("license").alias("units"),
+            F.flatten(F.collect_list("of_runs")).alias("runs"),
+        )
+        .select(
+            F.col("id").alias(id_column),
+            "license_of_text",
+            F.sort_array(F.array_union("units", "runs")).alias("licenses"),
         )
-        .select(F.col("id").alias(id_column), "license_of_text", "licenses")
     )

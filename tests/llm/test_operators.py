@@ -312,3 +312,29 @@ def _class_chances(model, ids, sizes, end):
     z = np.exp(lm_scoring._forward(model, inputs, depth)[-1])
     z /= z.sum(axis=1, keepdims=True)
     return z[np.arange(len(ids)), model.group[targets.reshape(-1)[: len(ids)]]].tolist()
+
+
+def test_whole_licenses_however_wrapped(spark):
+    import textwrap
+    from pathlib import Path
+
+    bodies = {f.stem: f.read_text() for f in Path(license_scan.__file__).parent.joinpath("license_texts").glob("*.txt")}
+    assert {"MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "MPL-2.0"} == set(bodies)
+    cases = []
+    for name, body in bodies.items():
+        cases.append((name, name, body))
+        body = body.split("END OF TERMS AND CONDITIONS")[0]  # the appendix has copyright lines to fill in
+        for width in (40, 61, 78):
+            apart = re.sub(r"(?m)^(\s*Copyright \([cC]\) .*)$", r"\1\n", body)  # such lines stand alone
+            paragraphs = re.split(r"\n\s*\n", apart)
+            wrapped = "\n\n".join(
+                x if x.lstrip().startswith("Copyright (C)") else textwrap.fill(x, width, break_long_words=False, break_on_hyphens=False)
+                for x in paragraphs
+            )
+            cases += [(name, name, wrapped), (None, name, f"Some words before.\n\n# Copyright (c) 2020 X\n\n{wrapped}\n\nand after")]
+    cases.append((None, "Apache-2.0", "About.\nLicensed under the Apache License,\nVersion 2.0.\nMore."))
+    cases.append(("MIT", "MIT", "MIT License\n\nCopyright (c) 2020 X\n\n" + bodies["MIT"]))
+    docs = spark.createDataFrame([(i, c[2]) for i, c in enumerate(cases)], "doc_id int, text string")
+    for r in license_scan.scan(docs).collect():
+        whole, name, text = cases[r["doc_id"]]
+        assert r["license_of_text"] == whole and name in r["licenses"], (name, text[:60], r)
