@@ -8,8 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, embedding_dedup, exact_dedup, language_id, license_scan, lm_scoring, near_dedup, source_mix, token_files, url_filter
-from plumbline.llm.common import fold, read_table
+from plumbline.llm import (
+    bpe,
+    conversation_repair,
+    embedding_dedup,
+    exact_dedup,
+    language_id,
+    license_scan,
+    lm_scoring,
+    near_dedup,
+    packing,
+    source_mix,
+    token_files,
+    url_filter,
+    whitening,
+)
+from plumbline.llm.common import checkpointed, fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -189,3 +203,26 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
         "score",
         "n_subwords",
     )
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, folder, "embeddings"))
+
+
+@query("op12_packing")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    packed = packing.pack(read_table(spark, folder, "documents"), vocabulary)
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    rows = conversation_repair.damage(read_table(spark, folder, "conversations"))
+    found = checkpointed(conversation_repair.audits(rows))
+    digests = conversation_repair.digests(conversation_repair.repaired(rows, found)).withColumnRenamed("conv", "other")
+    joined = found.join(digests, F.col("conv").eqNullSafe(F.col("other"))).drop("other")
+    return joined.withColumnRenamed("conv", "conv_id")
