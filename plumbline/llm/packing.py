@@ -228,7 +228,7 @@ def _placed(ranked: DataFrame, plan: Plan) -> DataFrame:
                 order = rank - plan.first[at]
                 head = plan.head[at]
                 size = np.where(head > 0, head, length)
-                ids = batch.column(6).take(pa.array(row))
+                ids = batch.column(5).take(pa.array(row))
                 if (head > 0).any() or skip.any():
                     raw = zip(ids.to_pylist(), (4 * skip).tolist(), (4 * (skip + size)).tolist())
                     ids = pa.array([i[a:b] for i, a, b in raw], pa.binary())
