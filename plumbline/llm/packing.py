@@ -152,7 +152,7 @@ def _piece_rows(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords, part = encoder(vocabulary), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for ids, texts in text_slices(batches, 3 * SLICE_CHARS):
+        for ids, texts in text_slices(batches, 2 * SLICE_CHARS):
             flat, counts = subwords.encode_flat(texts)
             flat = np.insert(flat, np.cumsum(counts), end_id).astype("<u4")
             counts = counts + 1

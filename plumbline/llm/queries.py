@@ -219,7 +219,71 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("op13_conversation_repair")
+@query(
+    "op13_conversation_repair",
+    r"""
+    WITH RECURSIVE keyed AS (
+      SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+    ), rolled AS (
+      SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+          lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]),
+            lambda r, unused: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)), 4294967295) % 20 AS kind
+      FROM keyed
+    ), damaged AS (
+      SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM rolled, range(CASE WHEN kind = 3 THEN 2 ELSE 1 END) WHERE kind != 0
+    ), placed AS (
+      SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS place FROM damaged
+    ), marked AS (
+      SELECT *, left(role, 1) AS initial,
+        CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+          WHEN place > min(place) OVER (PARTITION BY conv_id, role, text) THEN 'duplicate'
+          WHEN regexp_extract(text, '(?s)^.*([^\x20\x09-\x0D])', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault
+      FROM placed
+    ), counts AS (
+      SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal,
+        max(place) AS n
+      FROM (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY place) || initial AS pair FROM marked) GROUP BY conv_id
+    ), moves (state, edit, cost, after) AS (
+      VALUES ('', '', 0, ''), ('', 'I', 2, 'u'), ('', 'II', 4, 'a'), ('s', '', 0, 's'), ('s', 'I', 2, 'u'), ('s', 'II', 4, 'a'),
+             ('u', '', 0, 'u'), ('u', 'I', 2, 'a'), ('a', '', 0, 'a'), ('a', 'I', 2, 'u')
+    ), best (conv_id, place, state, cost, audit, repaired) AS (
+      SELECT conv_id, 0, after, cost, edit, CASE WHEN cost = 4 THEN ['user:', 'assistant:'] WHEN cost = 2 THEN ['user:'] ELSE CAST([] AS VARCHAR[]) END
+      FROM (SELECT DISTINCT conv_id FROM marked), moves WHERE state = ''
+      UNION ALL
+      SELECT conv_id, place, state, cost, audit, repaired FROM (
+        SELECT *, row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) AS nth FROM (
+          SELECT e.conv_id, e.place, m.after AS state, e.cost + m.cost AS cost, e.audit || m.edit AS audit,
+            e.repaired || CASE WHEN m.cost = 4 THEN ['user:', 'assistant:'] WHEN m.cost = 0 THEN [] WHEN m.after = 'u' THEN ['user:'] ELSE ['assistant:'] END AS repaired
+          FROM (
+            SELECT b.conv_id, b.place + 1 AS place, c.after, b.cost + c.cost + (c.edit != 'D' AND r.fault = 'truncated')::INT AS cost,
+              b.audit || c.edit AS audit,
+              b.repaired || CASE c.edit WHEN 'D' THEN [] WHEN 'K' THEN [r.role || ':' || r.text]
+                ELSE [CASE WHEN c.after = 'u' THEN 'user:' ELSE 'assistant:' END || r.text] END AS repaired
+            FROM best b JOIN marked r ON b.conv_id IS NOT DISTINCT FROM r.conv_id AND r.place = b.place + 1
+            JOIN (VALUES ('', 'D', '', 3, ''), ('s', 'D', '', 3, 's'), ('u', 'D', '', 3, 'u'), ('a', 'D', '', 3, 'a'),
+                         ('', 'R', '', 2, 'u'), ('s', 'R', '', 2, 'u'), ('u', 'R', '', 2, 'a'), ('a', 'R', '', 2, 'u'),
+                         ('', 'K', 's', 0, 's'), ('', 'K', 'u', 0, 'u'), ('s', 'K', 'u', 0, 'u'), ('a', 'K', 'u', 0, 'u'),
+                         ('u', 'K', 'a', 0, 'a')) AS c (state, edit, initial, cost, after)
+              ON c.state = b.state AND (c.edit = 'D' OR r.fault NOT IN ('blank', 'duplicate')) AND c.initial IN ('', r.initial)
+          ) e JOIN moves m ON m.state = e.after
+        )
+      ) WHERE nth = 1
+    ), solved AS (
+      SELECT c.*, b.cost, b.audit, b.repaired FROM counts c JOIN best b
+      ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND b.place = c.n AND b.state IN ('', 'a')
+      QUALIFY row_number() OVER (PARTITION BY c.conv_id ORDER BY b.cost, b.audit) = 1
+    )
+    SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+      coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+      coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(repaired, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN solved s ON a.conv_id IS NOT DISTINCT FROM s.conv_id
+    """,
+)
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     rows = conversation_repair.damage(read_table(spark, folder, "conversations"))
     found = checkpointed(conversation_repair.audits(rows))
