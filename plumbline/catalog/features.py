@@ -112,6 +112,7 @@ def select_variance(spark: SparkSession, folder: str) -> DataFrame:
 
 # l_extendedprice has many values and is cut at its deciles; the others are categories.
 CHISQ_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+CHISQ_BINS = {"l_extendedprice": 10}
 CHISQ = with_view("ml_lineitem", marked("ml_lineitem", "split_key") + """
     , t AS (SELECT *, CASE l_returnflag WHEN 'A' THEN 0 ELSE 1 END AS y FROM m WHERE split = 'train')
     , cuts AS (SELECT list_distinct(quantile_cont(l_extendedprice,
@@ -142,7 +143,7 @@ def _chisq_input(spark: SparkSession, folder: str) -> DataFrame:
     SELECT feature, CAST(position AS INTEGER) AS position, round(statistic, 4) AS statistic,
            degrees_of_freedom FROM tests""")
 def chisq_statistic(spark: SparkSession, folder: str) -> DataFrame:
-    found = ops.chisq_statistics(_chisq_input(spark, folder), "y", CHISQ_FEATURES, bins=10)
+    found = ops.chisq_statistics(_chisq_input(spark, folder), "y", CHISQ_FEATURES, bins=CHISQ_BINS)
     return rounded(found.drop("p_value"), ["statistic"], 4)
 
 
@@ -152,7 +153,7 @@ def chisq_statistic(spark: SparkSession, folder: str) -> DataFrame:
     ORDER BY (pow(statistic / degrees_of_freedom, 1.0 / 3) - (1 - 2.0 / (9 * degrees_of_freedom)))
              / sqrt(2.0 / (9 * degrees_of_freedom)) DESC, position LIMIT 3""")
 def select_chisq(spark: SparkSession, folder: str) -> DataFrame:
-    return ops.select_chisq(_chisq_input(spark, folder), "y", k=3, bins=10)
+    return ops.select_chisq(_chisq_input(spark, folder), "y", k=3, bins=CHISQ_BINS)
 
 
 @query(with_view("dirty_events", """

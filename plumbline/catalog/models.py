@@ -156,6 +156,50 @@ def clf_gbt_multiclass(spark: SparkSession, folder: str) -> DataFrame:
     return _classified(spark, folder, "GBT", "grade", ops.MULTICLASS)
 
 
+def _round_sql(number: int) -> str:
+    """One round of boosting with trees of one split: margins ``m<number>`` from those of the round before."""
+    before, now = f"m{number - 1}", f"m{number}"
+    return f"""
+    , p{number} AS (
+      SELECT c.*, k, exp(margin) / sum(exp(margin)) OVER (PARTITION BY c.x1, c.x2) AS p
+      FROM cells c JOIN {before} b ON c.x1 = b.x1 AND c.x2 = b.x2)
+    , d{number} AS (
+      SELECT *, n * (p - CASE WHEN y = k THEN 1 ELSE 0 END) AS g, n * 2 * p * (1 - p) AS h FROM p{number})
+    , v{number} AS (
+      SELECT 1 AS f, x1 AS v, k, sum(g) AS g, sum(h) AS h FROM d{number} GROUP BY x1, k
+      UNION ALL SELECT 2, x2, k, sum(g), sum(h) FROM d{number} GROUP BY x2, k)
+    , s{number} AS (
+      SELECT f, v, k, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER a AS gt, sum(h) OVER a AS ht FROM v{number}
+      WINDOW w AS (PARTITION BY f, k ORDER BY v), a AS (PARTITION BY f, k))
+    , best{number} AS (
+      SELECT f, v FROM s{number} GROUP BY f, v HAVING sum(ht - hl) > 0.5
+      ORDER BY sum(gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1)) DESC, f, v LIMIT 1)
+    , {now} AS (
+      SELECT x1, x2, m.k, margin - 0.1 * CASE WHEN CASE f WHEN 1 THEN x1 ELSE x2 END <= v THEN gl / (hl + 1)
+                                              ELSE (gt - gl) / (ht - hl + 1) END AS margin
+      FROM {before} m JOIN (SELECT * FROM s{number} JOIN best{number} USING (f, v)) AS cut ON m.k = cut.k)"""
+
+
+# Two rounds of one split each, with a leaf value for each of three classes, stated step by step.
+@query(STEPS + """
+    , cells AS (
+      SELECT l_linenumber AS x1, l_quantity AS x2, CAST(grade AS INTEGER) AS y, count(*) AS n
+      FROM m WHERE split = 'train' GROUP BY ALL)
+    , m0 AS (
+      SELECT x1, x2, k, CAST(0 AS DOUBLE) AS margin
+      FROM (SELECT DISTINCT l_linenumber AS x1, l_quantity AS x2 FROM m), range(3) AS classes(k))"""
+    + _round_sql(1) + _round_sql(2) + """
+    SELECT split_key, CAST(k AS VARCHAR) || '.0' AS class_label,
+           round(exp(margin) / sum(exp(margin)) OVER (PARTITION BY split_key), 6) AS probability
+    FROM m JOIN m2 ON l_linenumber = x1 AND l_quantity = x2 WHERE split = 'test'""")
+def clf_boosted_two_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    train, test = _data(spark, folder, "step_lineitem")
+    settings = {"maxIter": 2, "maxDepth": 1}
+    inputs = ["l_linenumber", "l_quantity"]
+    model = ops.fit_classifier("Boosted Trees (deep)", train, inputs, "grade", ops.MULTICLASS, settings=settings)
+    return rounded(ops.score_probabilities(model, test, ["split_key"]), ["probability"])
+
+
 def _regressed(spark: SparkSession, folder: str, name: str, features: list[str]) -> DataFrame:
     train, test = _data(spark, folder)
     model = ops.fit_regressor(name, train, features, "l_extendedprice")

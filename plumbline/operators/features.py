@@ -6,33 +6,33 @@ table, so that nothing leaks from test rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from typing import Any
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
-    Bucketizer,
     MinMaxScaler,
     OneHotEncoder,
     StandardScaler,
     StringIndexer,
     VectorAssembler,
 )
-from pyspark.ml.stat import ChiSquareTest
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.columns import NUMERIC, named, number, numeric_columns, type_class
+from plumbline.functions.distributions import chi_square_tail
 from plumbline.functions.text import unit_hash
 from plumbline.operators.summaries import variances
-from plumbline.plans.keep import kept
 from plumbline.plans.lookup import VALUE, attach, fitted
 from plumbline.plans.ordering import running_totals
 from plumbline.plans.quantiles import quantiles
 from plumbline.plans.stats import table_stats
 
-MAX_CATEGORIES = 1_000
-CHISQ_BINS = 100
+#: Values that a feature of a chi-square test may have unless it is cut into bins.
+MAX_CATEGORIES = 10_000
 
 
 # Split ---------------------------------------------------------------------
@@ -182,29 +182,29 @@ def _chisq_candidates(train: DataFrame, label: str) -> list[str]:
     return [c for i, c in enumerate(numeric) if lows[f"m{i}"] is not None and lows[f"m{i}"] >= 0]
 
 
-def _chisq_columns(train: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
-    """Label ``y`` and features ``x0..`` as doubles, complete rows only."""
-    is_number = type_class(train.schema[label].dataType) == NUMERIC
-    y = named(label).cast("double" if is_number else "string").alias("y")
-    data = train.select(y, *(number(train, c).alias(f"x{i}") for i, c in enumerate(features))).dropna()
-    if is_number:
-        return data
-    index = StringIndexer(inputCol="y", outputCol="y_index").fit(data)
-    return index.transform(data).drop("y").withColumnRenamed("y_index", "y")
+def _bin(value: Column, cuts: Sequence[float]) -> Column:
+    """Number of cut points that are not above the value."""
+    return reduce(Column.__add__, ((value >= F.lit(c)).cast("int") for c in cuts), F.lit(0)).cast("double")
 
 
-def _cut_at_quantiles(
-    data: DataFrame, features: Sequence[str], max_categories: int, bins: int, relative_error: float
+def _contingency(
+    train: DataFrame, label: str, features: Sequence[str], bins: Mapping[str, int], relative_error: float
 ) -> DataFrame:
-    """Turn a feature with too many values into its quantile bins."""
-    distinct = data.agg(*(F.approx_count_distinct(x).alias(x) for x in features)).first()
-    many = [x for x in features if distinct[x] > max_categories]
-    if not many:
-        return data
-    cuts = quantiles(data, many, [i / bins for i in range(1, bins)], relative_error)
-    splits = [[float("-inf"), *sorted(set(cuts[x])), float("inf")] for x in many]
-    cut = Bucketizer(splitsArray=splits, inputCols=many, outputCols=[f"{x}_bin" for x in many]).transform(data)
-    return cut.drop(*many).withColumnsRenamed({f"{x}_bin": x for x in many})
+    """Rows by feature, value and label, over the rows that have all of them: one aggregation for all features."""
+    cuts: dict[str, list[float]] = {}
+    inputs = {c: number(train, c) for c in features}
+    complete = reduce(Column.__and__, (x.isNotNull() for x in inputs.values()), named(label).isNotNull())
+    rows = train.where(complete)
+    for n in sorted(set(bins.values())):
+        own = [c for c in features if bins.get(c) == n]
+        found = quantiles(rows, own, [i / n for i in range(1, n)], relative_error) if n > 1 else dict.fromkeys(own)
+        cuts |= {c: sorted(set(found[c] or [])) for c in own}
+    cells = [
+        F.struct(F.lit(i).alias("position"), (_bin(x, cuts[c]) if c in cuts else x).alias("x"))
+        for i, (c, x) in enumerate(inputs.items())
+    ]
+    long = rows.select(named(label).alias("y"), F.inline(F.array(*cells)))
+    return fitted(long.groupBy("position", "x", "y").agg(F.count(F.lit(1)).alias("n")))
 
 
 def chisq_statistics(
@@ -212,36 +212,57 @@ def chisq_statistics(
     label: str,
     features: Sequence[str] | None = None,
     *,
+    bins: Mapping[str, int] | None = None,
     max_categories: int = MAX_CATEGORIES,
-    bins: int = CHISQ_BINS,
     relative_error: float = 0.0,
 ) -> DataFrame:
-    """Chi-square test of each non-negative numeric feature against the label."""
-    features = list(features or _chisq_candidates(train, label))
-    inputs = [f"x{i}" for i in range(len(features))]
+    """Chi-square test of each non-negative numeric feature against the label.
+
+    Features named in ``bins`` are cut at so many quantiles; all others are tested on their own values, of
+    which there may be at most ``max_categories``: an error names those that have more.
+    """
+    features, bins = list(features or _chisq_candidates(train, label)), dict(bins or {})
+    unknown = set(bins) - set(features)
+    if unknown:
+        raise ValueError(f"bins for {sorted(unknown)}, which are no features of the test")
+    schema = "feature string, position int, statistic double, degrees_of_freedom bigint, p_value double"
+    if not features:
+        return train.sparkSession.createDataFrame([], schema)
+    cells = _contingency(train, label, features, bins, relative_error)
+    values = cells.groupBy("position").agg(F.count_distinct("x").alias("n")).where(F.col("n") > max_categories)
+    many = [features[r["position"]] for r in values.orderBy("position").collect()]
+    if many:
+        raise ValueError(f"more than {max_categories} values in {many}: name them in bins or leave them out")
+    of_value, of_label, of_feature = (Window.partitionBy("position", *c) for c in (["x"], ["y"], []))
+    expected = F.sum("n").over(of_value) * F.sum("n").over(of_label) / F.sum("n").over(of_feature).cast("double")
+    table = cells.withColumn("expected", expected).withColumn("total", F.sum("n").over(of_feature))
+    # Cells without rows differ from what is expected there by all of it.
+    empty = F.max("total") - F.sum("expected")
+    statistic = F.sum((F.col("n") - F.col("expected")) ** 2 / F.col("expected")) + empty
+    degrees = (F.count_distinct("x") - 1) * (F.count_distinct("y") - 1)
+    tests = table.groupBy("position").agg(statistic.alias("statistic"), degrees.alias("degrees_of_freedom"))
     names = F.array(*(F.lit(f) for f in features))
-    with kept(_chisq_columns(train, label, features)) as data:
-        ready = _cut_at_quantiles(data, inputs, max_categories, bins, relative_error)
-        vectors = VectorAssembler(inputCols=inputs, outputCol="x").transform(ready).select("y", "x")
-        tests = ChiSquareTest.test(vectors, "x", "y", flatten=True).select(
-            F.element_at(names, F.col("featureIndex") + 1).alias("feature"),
-            F.col("featureIndex").alias("position"),
-            F.col("statistic"),
-            F.col("degreesOfFreedom").cast("bigint").alias("degrees_of_freedom"),
-            F.col("pValue").alias("p_value"),
+    return fitted(
+        tests.select(
+            F.element_at(names, F.col("position") + 1).alias("feature"),
+            "position",
+            "statistic",
+            "degrees_of_freedom",
+            chi_square_tail(F.col("statistic"), F.col("degrees_of_freedom")).alias("p_value"),
         )
-        return fitted(tests)
+    )
 
 
-def select_chisq(train: DataFrame, label: str, k: int = 7, **options: float) -> DataFrame:
-    """The ``k`` features with the smallest p-value, in column order."""
+def select_chisq(train: DataFrame, label: str, k: int = 7, **options: Any) -> DataFrame:
+    """The ``k`` features with the smallest p-value, equal ones by their statistic per degree, in column order."""
     candidates = _chisq_candidates(train, label)
     if len(candidates) < 2:
         schema = T.StructType([T.StructField("feature", T.StringType()), T.StructField("position", T.IntegerType())])
         return train.sparkSession.createDataFrame([(c, i) for i, c in enumerate(candidates)], schema)
+    strength = F.try_divide(F.col("statistic"), F.col("degrees_of_freedom"))
     return (
         chisq_statistics(train, label, candidates, **options)
-        .orderBy("p_value", "position")
+        .orderBy("p_value", strength.desc_nulls_last(), "position")
         .limit(k)
         .select("feature", "position")
         .orderBy("position")

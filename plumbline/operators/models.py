@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
+from typing import Any
 
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import (
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import categorical_columns, named, number
 from plumbline.operators import metrics
+from plumbline.operators.boosting import BoostedTrees
 from plumbline.operators.features import target_indexer
 from plumbline.plans.keep import kept
 from plumbline.session import ensure_checkpoint_dir
@@ -49,12 +51,12 @@ CLASSIFIERS: dict[str, Callable[[str], Estimator]] = {
         maxIter=100, family="multinomial" if task == MULTICLASS else "auto"
     ),
     "Random Forest": lambda task: RandomForestClassifier(numTrees=100, seed=SEED),
-    "GBT": lambda task: _per_class(GBTClassifier(maxIter=50, seed=SEED), task),
+    "GBT": lambda task: (
+        BoostedTrees(maxIter=50, maxDepth=5) if task == MULTICLASS else GBTClassifier(maxIter=50, seed=SEED)
+    ),
     "Decision Tree": lambda task: DecisionTreeClassifier(seed=SEED),
     "SVM (Linear)": lambda task: _per_class(LinearSVC(maxIter=100), task),
-    "Boosted Trees (deep)": lambda task: _per_class(
-        GBTClassifier(maxIter=100, maxDepth=6, stepSize=0.1, seed=SEED), task
-    ),
+    "Boosted Trees (deep)": lambda task: BoostedTrees(maxIter=100, maxDepth=6, stepSize=0.1),
 }
 REGRESSORS: dict[str, Callable[[], Estimator]] = {
     "Linear Regression": lambda: LinearRegression(maxIter=100, regParam=0.1, elasticNetParam=0.0),
@@ -101,11 +103,18 @@ def _prepare(train: DataFrame, stages: Iterable[Estimator | Transformer]) -> tup
 
 
 def fit_classifier(
-    name: str, train: DataFrame, features: Sequence[str], target: str, task: str, handle_invalid: str = "skip"
+    name: str,
+    train: DataFrame,
+    features: Sequence[str],
+    target: str,
+    task: str,
+    handle_invalid: str = "skip",
+    settings: Mapping[str, Any] | None = None,
 ) -> PipelineModel:
     """Whole scoring pipeline: text encoders, assembly, model, decoded label.
 
-    It needs the raw feature columns only; the target may be absent.
+    It needs the raw feature columns only; the target may be absent. ``settings`` are parameters of the
+    learner, by name, that differ from the usual ones.
     """
     if name not in CLASSIFIERS:
         raise ValueError(f"unknown classification model {name!r}, choose from {list(CLASSIFIERS)}")
@@ -114,6 +123,7 @@ def fit_classifier(
     label = f"{target}_idx"
     gather = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid=handle_invalid)
     estimator = CLASSIFIERS[name](task).setLabelCol(label).setFeaturesCol("features")
+    estimator = estimator.copy({estimator.getParam(k): v for k, v in (settings or {}).items()})
     with kept(_used(train, features, target)) as rows:
         stages, data = _prepare(rows, [*encoders, gather])
         index = target_indexer(train, target, label).fit(data)
