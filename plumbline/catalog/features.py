@@ -168,5 +168,5 @@ def assemble_features(spark: SparkSession, folder: str) -> DataFrame:
     SELECT split_key, CAST(idx AS DOUBLE) AS l_returnflag_idx FROM m JOIN ranked USING (l_returnflag)"""))
 def index_target(spark: SparkSession, folder: str) -> DataFrame:
     rows, train = parts(spark, folder, "ml_lineitem", "split_key")
-    model = ops.target_indexer(train, "l_returnflag").fit(train)
+    model = ops.target_index(train, "l_returnflag")
     return model.transform(rows).select("split_key", "l_returnflag_idx")

@@ -7,18 +7,19 @@ table, so that nothing leaks from test rows.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
     MinMaxScaler,
-    OneHotEncoder,
     StandardScaler,
-    StringIndexer,
+    StringIndexerModel,
     VectorAssembler,
 )
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +34,8 @@ from plumbline.plans.stats import table_stats
 
 #: Values that a feature of a chi-square test may have unless it is cut into bins.
 MAX_CATEGORIES = 10_000
+#: Classes that a model may tell apart.
+MAX_CLASSES = 10_000
 
 
 # Split ---------------------------------------------------------------------
@@ -116,18 +119,43 @@ def frequency_encoding(
     return train, test
 
 
-def onehot_encoder(train: DataFrame, column: str) -> PipelineModel:
-    """Adds ``<column>_indexed`` and the vector ``<column>_ohe``; unseen values are all zero.
-
-    The vector is as wide as the column has values, and the model holds their list:
-    for a column with very many values use label or frequency encoding.
-    """
-    return Pipeline(
-        stages=[
-            StringIndexer(inputCol=column, outputCol=f"{column}_indexed", handleInvalid="keep"),
-            OneHotEncoder(inputCols=[f"{column}_indexed"], outputCols=[f"{column}_ohe"]),
+@dataclass(frozen=True)
+class OneHotEncoder:
+    """Fitted one-hot encoding: a table of values with their indexes, which stays on the cluster."""
+
+    column: str
+    index: DataFrame
+    size: int
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Add ``<column>_indexed`` and the sparse vector ``<column>_ohe``; NULL and unseen values are all zero."""
+        indexed = label_encode(df, self.column, self.index)
+        place = named(f"{self.column}_indexed").cast("long")
+        known = place < self.size
+        # A vector as Spark ML writes it: of kind 0 (sparse), with its size, places and values.
+        cells = [
+            F.lit(f'{{"v":{{"type":0,"size":{self.size},"indices":['),
+            F.when(known, place.cast("string")).otherwise(""),
+            F.lit('],"values":['),
+            F.when(known, "1.0").otherwise(""),
+            F.lit("]}}"),
         ]
-    ).fit(train)
+        schema = T.StructType([T.StructField("v", VectorUDT())])
+        return indexed.withColumn(f"{self.column}_ohe", F.from_json(F.concat(*cells), schema)["v"])
+
+    def save(self, path: str) -> None:
+        self.index.write.mode("overwrite").parquet(path)
+
+
+def load_onehot_encoder(spark: SparkSession, path: str, column: str) -> OneHotEncoder:
+    index = spark.read.parquet(path)
+    return OneHotEncoder(column, index, index.count())
+
+
+def onehot_encoder(train: DataFrame, column: str) -> OneHotEncoder:
+    """One-hot encoding of a column with any number of values: their list is ranked and joined, never gathered."""
+    index = label_index(train, column)
+    return OneHotEncoder(column, index, index.count())
 
 
 def onehot_encoding(train: DataFrame, test: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
@@ -279,12 +307,17 @@ def assemble(
     return VectorAssembler(inputCols=list(features), outputCol=output, handleInvalid=handle_invalid).transform(df)
 
 
-def target_indexer(df: DataFrame, target: str, output: str | None = None) -> StringIndexer:
-    """Estimator for ``<target>_idx``: text by falling frequency, numbers in the order of their text.
+def target_index(df: DataFrame, target: str, output: str | None = None) -> StringIndexerModel:
+    """Index ``<target>_idx`` of the classes: text by falling frequency, numbers in their own order.
 
-    Rows without a target cannot train a model and are skipped.
+    Rows without a target cannot train a model and are skipped. A model has outputs for each class, so
+    more than ``MAX_CLASSES`` are an error.
     """
-    by = "alphabetAsc" if type_class(df.schema[target].dataType) == NUMERIC else "frequencyDesc"
-    return StringIndexer(
-        inputCol=target, outputCol=output or f"{target}_idx", handleInvalid="skip", stringOrderType=by
-    )
+    value, output = named(target), output or f"{target}_idx"
+    classes = df.where(value.isNotNull()).groupBy(value.alias("class")).agg(F.count(F.lit(1)).alias("rows"))
+    is_number = type_class(df.schema[target].dataType) == NUMERIC
+    order = [F.asc("class")] if is_number else [F.desc("rows"), F.asc("class")]
+    found = classes.orderBy(*order).limit(MAX_CLASSES + 1).select(F.col("class").cast("string")).collect()
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"target {target} has more than {MAX_CLASSES} classes")
+    return StringIndexerModel.from_labels([r[0] for r in found], target, output, handleInvalid="skip")

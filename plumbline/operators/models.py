@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import categorical_columns, named, number
 from plumbline.operators import metrics
 from plumbline.operators.boosting import BoostedTrees
-from plumbline.operators.features import target_indexer
+from plumbline.operators.features import target_index
 from plumbline.plans.keep import kept
 from plumbline.session import ensure_checkpoint_dir
 
@@ -126,7 +126,7 @@ def fit_classifier(
     estimator = estimator.copy({estimator.getParam(k): v for k, v in (settings or {}).items()})
     with kept(_used(train, features, target)) as rows:
         stages, data = _prepare(rows, [*encoders, gather])
-        index = target_indexer(train, target, label).fit(data)
+        index = target_index(data, target, label)
         # The learners keep their own compact copy for the iterations.
         model = estimator.fit(index.transform(data).select("features", label))
     decode = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=index.labels)

@@ -227,7 +227,7 @@ def test_selection(spark):
         (-F.col("id")).alias("negative"),
         F.lit(None).cast("double").alias("blank"),
     )
-    found = features.select_chisq(df.drop("blank"), "y", k=1, max_categories=100, bins=10)
+    found = features.select_chisq(df.drop("blank"), "y", k=1, max_categories=100, bins={"many": 10})
     assert [r["feature"] for r in found.collect()] == ["good"]
     assert [r["feature"] for r in features.select_chisq(df.select("y", "good", "negative", "blank"), "y").collect()] == ["good"]
     assert "blank" not in [r["column_name"] for r in features.select_variance(df).collect()]
