@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from plumbline.functions.columns import named
+from plumbline.functions.columns import NESTED, named, type_class
 from plumbline.functions.text import unit_hash
 from plumbline.plans.ordering import first_rows
 
@@ -44,10 +44,14 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def row_cap(df: DataFrame, nrows: int | None, order_by: Sequence[str] = ()) -> DataFrame:
-    """The first ``nrows`` rows, in the given order when there is one."""
+    """The first ``nrows`` rows in the given order, else in that of the columns from left to right.
+
+    So the same rows come back whatever the partitions. 0 or None keeps all rows.
+    """
     if not nrows or nrows < 0:
         return df
-    return first_rows(df, order_by, nrows) if order_by else df.limit(nrows)
+    simple = [f.name for f in df.schema.fields if type_class(f.dataType) != NESTED]
+    return first_rows(df, list(order_by) or simple, nrows)
 
 
 def random_sample(df: DataFrame, fraction: float = 0.1, seed: int | None = None) -> DataFrame:

@@ -78,16 +78,52 @@ def test_running_totals(hot, buckets):
     assert got == dict(zip(ordered["id"], ordered["key"].cumsum()))
 
 
-@pytest.mark.parametrize("buckets", [None, 1, 5, 40])
-def test_first_rows(hot, buckets):
+@pytest.mark.parametrize("span, sample", [(50_000, 4_000), (100, 50), (1, 4), (0, 1)])
+def test_first_rows(hot, monkeypatch, span, sample):
+    monkeypatch.setattr(ordering, "SPAN_ROWS", span)
+    monkeypatch.setattr(ordering, "SPAN_SAMPLE", sample)
     df, frame = hot
-    got = [r["id"] for r in ordering.first_rows(df, ["at", "id"], 777, buckets=buckets).collect()]
-    assert sorted(got) == sorted(frame.sort_values(["at", "id"])["id"].head(777))
+    for n in (1, 777):
+        got = [r["id"] for r in ordering.first_rows(df, ["at", "id"], n).collect()]
+        assert sorted(got) == sorted(frame.sort_values(["at", "id"])["id"].head(n))
 
 
 def test_first_rows_of_one_hot_value(spark):
     df = spark.range(500).select("id", F.lit(1).alias("at"))
-    assert ordering.first_rows(df, ["at"], 60, buckets=8).count() == 60
+    got = ordering.first_rows(df, ["at"], 60)
+    assert got.count() == 60 and got.select("id").distinct().count() == 60
+
+
+@pytest.mark.parametrize("span", [50_000, 2])
+def test_first_rows_of_every_type_with_nulls_and_copies(spark, monkeypatch, span):
+    monkeypatch.setattr(ordering, "SPAN_ROWS", span)
+    monkeypatch.setattr(ordering, "SPAN_SAMPLE", 9)
+    df = spark.range(300).repartition(2).selectExpr(
+        "CASE WHEN id % 5 > 0 THEN id % 7 / 3D END AS x", "CASE WHEN id % 9 = 0 THEN double('NaN') ELSE id % 4 END AS y",
+        "concat('k', id % 11) AS s", "date_add(date'2024-01-01', int(id % 3)) AS d", "timestamp_ntz'2024-01-01 00:00:00' AS t",
+        "cast(id % 2 AS decimal(9,2)) AS c", "id % 2 = 0 AS b", "map('a', 1) AS m", "array(id % 2) AS a",
+    )
+    both = df.unionByName(df).cache()  # every row twice
+    for order in (["x", "y", "s"], ["s", "d"], ["d", "t", "b", "c"]):
+        for n in (59, 121, 599):
+            got = ordering.first_rows(both, order, n).select(*order).collect()
+            expected = both.orderBy(*(F.asc_nulls_first(c) for c in order)).limit(n).select(*order).collect()
+            assert sorted(map(str, got)) == sorted(map(str, expected)), (order, n)
+
+
+def test_row_cap_reaches_the_scan(spark, folder):
+    table = spark.read.parquet(f"{folder}/lineitem.parquet")
+    capped = row_cap(table, 1000, ["l_orderkey", "l_partkey"]).select("l_orderkey", "l_partkey")
+    plan = capped._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: []" not in plan and "EqualTo(l_orderkey" in plan
+    assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint>" in plan
+    assert capped.count() == 1000
+
+
+def test_row_cap_without_an_order_does_not_depend_on_partitions(spark, folder):
+    table = spark.read.parquet(f"{folder}/orders.parquet")
+    first, second = (row_cap(t, 50).select("o_orderkey").collect() for t in (table, table.repartition(5)))
+    assert sorted(first) == sorted(second) and len(first) == 50
 
 
 def test_first_rows_of_few_and_no_rows(spark):
