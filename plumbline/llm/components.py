@@ -37,10 +37,8 @@ def components(links: DataFrame) -> DataFrame:
     found = None
     while not links.isEmpty():
         # A larger node points to its smallest neighbour; a node without a smaller one is a root of this round.
-        pointing = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
-        resting = links.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("root"))
-        every = pointing.unionByName(resting).groupBy("node").agg(F.min("root").alias("root"))
-        roots = _shortened(checkpointed(every))
+        ends = F.array(*(F.struct(F.col(node).alias("node"), F.col("a").alias("root")) for node in "ab"))
+        roots = _shortened(links.select(F.inline(ends)).groupBy("node").agg(F.min("root").alias("root")))
         a = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         b = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         links = links.join(a, "a").join(b, "b").where("ra != rb")

@@ -238,8 +238,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _linked(group: pd.DataFrame, threshold: float) -> Iterator[tuple[bytes, bytes]]:
-    """Links between the asking members of a group and the others; one for each component a member reaches."""
-    keys, labels = group["key"].to_numpy(), group["label"].to_numpy()
+    """Links between the components of the asking members of a group and those of the others, by their labels."""
+    labels = group["label"].to_numpy()
     asks = np.flatnonzero(group["asks"].to_numpy())
     asked = np.flatnonzero(group["asked"].to_numpy())
     sets = [np.frombuffer(x, np.uint32) for x in group["shingles"]]
@@ -259,14 +259,12 @@ def _linked(group: pd.DataFrame, threshold: float) -> Iterator[tuple[bytes, byte
         shared = np.bincount(owner[at], weights=least, minlength=len(asked))
         linked = asked[shared >= threshold * (mass[a] + mass[asked] - shared)]
         linked = linked[labels[linked] != labels[a]]
-        if len(linked):
-            _, one = np.unique(labels[linked], return_index=True)
-            for m in linked[one]:
-                yield keys[a], keys[m]
+        for label in np.unique(labels[linked]):
+            yield labels[a], label
 
 
 def _rest(member: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links between members of a bucket in different components (bucket, key, label).
+    """Links between the components of members of a bucket (bucket, key, label), by their labels.
 
     Members outside the bucket's largest component ask all members. Askers and asked are cut
     into slices, and each pair of slices is a group that one call holds and compares.
@@ -303,12 +301,12 @@ def _rest(member: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     loaded = both.withColumn("call", call).join(sets, "key")
 
     def compared(part: pd.DataFrame) -> pd.DataFrame:
-        found = [
+        found = {
             pair
             for _, group in part.groupby(["bucket", "i", "j"], sort=False)
             if group["asks"].any() and group["asked"].any()
             for pair in _linked(group, threshold)
-        ]
+        }
         return pd.DataFrame({"a": [x for x, _ in found], "b": [y for _, y in found]}, dtype=object)
 
     return checkpointed(loaded.groupBy("call").applyInPandas(compared, "a binary, b binary"))
@@ -362,11 +360,12 @@ def classes(
     # What is left: pairs of a bucket in different components.
     labelled = member.select("bucket", "key").join(roots.withColumnRenamed("node", "key"), "key", "left")
     labelled = checkpointed(labelled.select("bucket", "key", F.coalesce("root", "key").alias("label")))
-    links = links.unionByName(_rest(labelled, sets, threshold))
-    roots = components(links)
+    # The components found so far are the nodes of a second, much smaller graph.
+    tops = components(_rest(labelled, sets, threshold)).select(F.col("node").alias("label"), F.col("root").alias("top"))
 
     named = texts.select("key", "low").join(roots.withColumnRenamed("node", "key"), "key", "left")
-    named = checkpointed(named.select("key", "low", F.coalesce("root", "key").alias("root")))
+    named = named.select("key", "low", F.coalesce("root", "key").alias("label")).join(tops, "label", "left")
+    named = checkpointed(named.select("key", "low", F.coalesce("top", "label").alias("root")))
     lows = named.groupBy("root").agg(F.min("low").alias("class"))
     named = named.join(lows, "root").select(F.col("key").alias("key_"), "class")
     joined = every.select("id", "raw", "key").join(named, F.col("key") == F.col("key_"), "left")
