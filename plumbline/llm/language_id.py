@@ -241,33 +241,34 @@ def learn(
     return Models(models.languages, models.keys, models.chance, models.back_off, models.floor, bounds)
 
 
+def _judged(scorer: Scorer, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the language (the last one for none), score, bits and rejection of each text."""
+    models = scorer.models
+    bits, letters = scorer.entropies(texts)
+    none = (letters == 0) | (not models.languages)
+    if models.languages:
+        best = bits.argmin(axis=1)
+        least = bits.min(axis=1)
+        score = 1 / np.exp2(-4 * (bits - least[:, None])).sum(axis=1)
+        over = least - SHORT_MARGIN / np.maximum(1, letters) > models.bounds[best]
+    else:
+        best, least = np.zeros(len(texts), int), np.zeros(len(texts))
+        score, over = least, least > 0
+    place = np.where(none, len(models.languages), best)
+    return place, np.where(none, 0.0, score), np.where(none, 0.0, least), none | over
+
+
 def identify(docs: DataFrame, models: Models, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document: id, language, score (share of the best among the models, 0 to 1), bits, rejected."""
     kind = docs.schema[id_column].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
-        names = np.array([*held.languages, UNKNOWN])
-        scorer = Scorer(held)
+        names = np.array([*shared.value.languages, UNKNOWN])
+        scorer = Scorer(shared.value)
         for ids, texts in text_slices(batches):
-            bits, letters = scorer.entropies(texts)
-            none = (letters == 0) | (not held.languages)
-            if held.languages:
-                best = bits.argmin(axis=1)
-                least = bits.min(axis=1)
-                score = 1 / np.exp2(-4 * (bits - least[:, None])).sum(axis=1)
-                over = least - SHORT_MARGIN / np.maximum(1, letters) > held.bounds[best]
-            else:
-                best, least = np.zeros(len(texts), int), np.zeros(len(texts))
-                score, over = least, least > 0
-            columns = [
-                ids,
-                pa.array(names[np.where(none, len(names) - 1, best)]),
-                pa.array(np.where(none, 0.0, score)),
-                pa.array(np.where(none, 0.0, least)),
-                pa.array(none | over),
-            ]
+            place, *rest = _judged(scorer, texts)
+            columns = [ids, pa.array(names[place]), *map(pa.array, rest)]
             yield pa.RecordBatch.from_arrays(columns, ["id", "lang_pred", "score", "bits", "rejected"])
 
     rows = docs.select(docs[id_column].alias("id"), whole_text(text_column).alias("text"))
@@ -276,7 +277,15 @@ def identify(docs: DataFrame, models: Models, id_column: str = "doc_id", text_co
 
 
 def accepted(docs: DataFrame, models: Models, text_column: str = "text") -> DataFrame:
-    """The documents that are not rejected, in their own columns."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.col(f"`{text_column}`").alias("text"))
-    return identify(rows, models, "row").where("not rejected").select("row.*")
+    """The documents that are not rejected, in their own columns; only texts go to Python, and one flag comes back."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+
+    @F.arrow_udf("boolean")
+    def rejected(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(shared.value)
+        for texts in columns:
+            batch = pa.RecordBatch.from_arrays([texts, texts], ["id", "text"])
+            flags = [_judged(scorer, held)[3] for _, held in text_slices([batch])]
+            yield pa.array(np.concatenate([np.zeros(0, bool), *flags]))
+
+    return docs.where(~rejected(whole_text(text_column)))
