@@ -69,15 +69,17 @@ def box_stats(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(ops.box_stats(view(spark, folder, "dirty_events"), "value"), ["q1", "median", "q3"])
 
 
-CORRELATED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+LINE_NUMBERS = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
+]
 
 
 @query(" UNION ALL ".join(
     f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 6) + 0.0 AS pearson_r FROM lineitem"
-    for a in CORRELATED for b in CORRELATED
+    for a in LINE_NUMBERS for b in LINE_NUMBERS
 ))
 def correlation_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(ops.correlation_matrix(read_table(spark, folder, "lineitem"), CORRELATED), ["pearson_r"])
+    return rounded(ops.correlation_matrix(read_table(spark, folder, "lineitem")), ["pearson_r"])
 
 
 @query("""
@@ -98,19 +100,16 @@ def scatter_density(spark: SparkSession, folder: str) -> DataFrame:
     return ops.scatter_density(read_table(spark, folder, "lineitem"), "l_quantity", "l_extendedprice")
 
 
-PAIRED = ["l_quantity", "l_extendedprice", "l_discount"]
-
-
 def _pair_sql() -> str:
-    reach = ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in PAIRED)
+    reach = ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in LINE_NUMBERS)
     cells = [
         f"""
       SELECT '{a}' AS x, '{b}' AS y, {bin_sql(a, f"lo_{a}", f"hi_{a}", 20)} AS x_bin,
              {bin_sql(b, f"lo_{b}", f"hi_{b}", 20)} AS y_bin, CAST(count(*) AS DOUBLE) AS value
       FROM lineitem, reach GROUP BY ALL"""
-        for a, b in combinations(PAIRED, 2)
+        for a, b in combinations(LINE_NUMBERS, 2)
     ]
-    values = " UNION ALL ".join(f"SELECT '{c}' AS g, CAST({c} AS DOUBLE) AS v FROM lineitem" for c in PAIRED)
+    values = " UNION ALL ".join(f"SELECT '{c}' AS g, CAST({c} AS DOUBLE) AS v FROM lineitem" for c in LINE_NUMBERS)
     diagonal = """
       SELECT col AS x, col AS y, grid_point AS x_bin, CAST(NULL AS INTEGER) AS y_bin, density AS value FROM curve"""
     return (
@@ -122,7 +121,7 @@ def _pair_sql() -> str:
 
 @query(_pair_sql())
 def pair_data(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(ops.pair_data(read_table(spark, folder, "lineitem"), PAIRED), ["value"])
+    return rounded(ops.pair_data(read_table(spark, folder, "lineitem")), ["value"])
 
 
 @query(with_view("dirty_events", f"""

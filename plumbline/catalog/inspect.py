@@ -5,26 +5,43 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.catalog.base import query, rounded, view, with_view
+from plumbline.functions.columns import date_like_columns as date_named
 from plumbline.operators import inspect as ops
+from plumbline.plans.stats import one_row_per
 from plumbline.session import shared_dir
 from plumbline.sources.tables import hash_sample as keyed_sample
 from plumbline.sources.tables import read_csv, read_table, row_cap
 
 
-@query("""
-    SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders""")
-def scan_csv(spark: SparkSession, folder: str) -> DataFrame:
+ORDERS = """o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate,
+           o_orderpriority"""
+
+
+def _written(spark: SparkSession, folder: str) -> str:
     path = f"{shared_dir(spark)}/scan_csv-{uuid.uuid4().hex}"
-    read_table(spark, folder, "orders").drop("o_orderdate").write.option("header", True).csv(f"{path}/orders.csv")
-    return read_csv(spark, path, "orders.csv").selectExpr(
-        "cast(o_orderkey AS bigint) AS o_orderkey",
-        "cast(o_custkey AS bigint) AS o_custkey",
-        "o_orderstatus",
-        "o_totalprice",
-        "o_orderpriority",
-    )
+    read_table(spark, folder, "orders").write.option("header", True).csv(f"{path}/orders.csv")
+    return path
+
+
+def _with_date_text(df: DataFrame) -> DataFrame:
+    """The date as text without a zone."""
+    return df.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz").cast("string"))
+
+
+@query(f"SELECT {ORDERS} FROM orders")
+def scan_csv(spark: SparkSession, folder: str) -> DataFrame:
+    found = read_csv(spark, _written(spark, folder), "orders.csv")
+    whole = {c: F.col(c).cast("bigint") for c in ("o_orderkey", "o_custkey")}
+    return _with_date_text(found.withColumns(whole))
+
+
+@query(f"SELECT {ORDERS} FROM orders")
+def scan_csv_schema(spark: SparkSession, folder: str) -> DataFrame:
+    schema = read_table(spark, folder, "orders").schema
+    return _with_date_text(read_csv(spark, _written(spark, folder), "orders.csv", schema=schema))
 
 
 @query("""
@@ -44,11 +61,9 @@ def hash_sample(spark: SparkSession, folder: str) -> DataFrame:
     return keyed_sample(orders, ["o_orderkey"], 0.1, 42).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-@query("""
-    SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders
-    ORDER BY o_totalprice, o_orderkey LIMIT 100""")
+@query(f"SELECT {ORDERS} FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 100")
 def preview(spark: SparkSession, folder: str) -> DataFrame:
-    return ops.preview(read_table(spark, folder, "orders"), ["o_totalprice", "o_orderkey"], 100).drop("o_orderdate")
+    return _with_date_text(ops.preview(read_table(spark, folder, "orders"), ["o_totalprice", "o_orderkey"], 100))
 
 
 @query("SELECT count(*) AS n_rows, 11 AS n_columns FROM lineitem")
@@ -112,11 +127,18 @@ def describe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(with_view("dirty_events", """
-    , cells AS (SELECT user_id, event_type, value FROM dirty_events)
-    SELECT count(*) AS n_rows, 3 AS n_columns, 2 AS n_numeric, 1 AS n_categorical,
+    SELECT count(*) AS n_rows, 5 AS n_columns, 3 AS n_numeric, 1 AS n_categorical,
       count(CASE WHEN event_type IS NULL OR lower(trim(event_type)) IN ('', 'na', 'null', 'n/a') THEN 1 END)
         + count(*) - count(value) AS missing_cells,
-      count(*) - (SELECT count(*) FROM (SELECT DISTINCT user_id, event_type, value FROM cells)) AS duplicate_rows
-    FROM cells"""))
+      count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty_events)) AS duplicate_rows
+    FROM dirty_events"""))
 def overview(spark: SparkSession, folder: str) -> DataFrame:
-    return ops.overview(view(spark, folder, "dirty_events").select("user_id", "event_type", "value"))
+    return ops.overview(view(spark, folder, "dirty_events"))
+
+
+@query("""
+    SELECT 'order_date_text' AS column_name, count(*) AS filled FROM orders""")
+def date_like_columns(spark: SparkSession, folder: str) -> DataFrame:
+    orders = _with_date_text(read_table(spark, folder, "orders")).withColumnRenamed("o_orderdate", "order_date_text")
+    entries = [[F.lit(c).alias("column_name"), F.count(c).alias("filled")] for c in date_named(orders)]
+    return one_row_per(orders, entries)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -301,6 +302,20 @@ def leaderboard(spark: SparkSession, folder: str) -> DataFrame:
     return board.withColumn("value", F.col("value") + F.lit(0.0))
 
 
+# The tree follows the step exactly, the line can not.
+@query("""
+    SELECT metric, 'Decision Tree Regressor' AS model, CAST(value AS DOUBLE) AS value, 1 AS place
+    FROM (VALUES ('RMSE', 0), ('MAE', 0), ('MSE', 0), ('R2', 1)) AS best(metric, value)""")
+def best_model(spark: SparkSession, folder: str) -> DataFrame:
+    train, test = _data(spark, folder, "step_lineitem")
+    names = ["Linear Regression", "Decision Tree Regressor"]
+    _, results = ops.compare_regressors(names, train, test, ["l_linenumber"], "amount")
+    best = [ops.best_model(results, metric) for metric in ("RMSE", "MAE", "MSE", "R2")]
+    return reduce(DataFrame.unionByName, best).select("metric", "model", F.col("value") + F.lit(0.0), "place").toDF(
+        "metric", "model", "value", "place"
+    )
+
+
 def _grade_model(spark: SparkSession, folder: str):
     train, test = _data(spark, folder, "step_lineitem")
     features = [*FEATURES, "l_linestatus"]

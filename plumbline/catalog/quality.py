@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.catalog.base import query, rounded, view, with_view
 from plumbline.operators import duplicates, missing, repair
@@ -21,6 +22,11 @@ PROFILE = f"""
            round(missing_count * CAST(100 AS DOUBLE) / n, 6) AS missing_percentage FROM profile"""
 
 
+def _with_time_text(df: DataFrame) -> DataFrame:
+    """The time as text without a zone."""
+    return df.withColumn("ts", F.col("ts").cast("string"))
+
+
 @query(with_view("dirty_events", PROFILE))
 def missing_profile(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(missing.missing_profile(view(spark, folder, "dirty_events")), ["missing_percentage"])
@@ -32,22 +38,23 @@ def missing_columns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(with_view("dirty_events", f"""
-    SELECT event_id, user_id, CASE WHEN NOT {BLANK} THEN event_type END AS event_type, value FROM dirty_events"""))
+    SELECT event_id, user_id, CAST(ts AS VARCHAR) AS ts, CASE WHEN NOT {BLANK} THEN event_type END AS event_type, value
+    FROM dirty_events"""))
 def normalize_missing(spark: SparkSession, folder: str) -> DataFrame:
-    return missing.normalize_missing(view(spark, folder, "dirty_events")).drop("ts")
+    return _with_time_text(missing.normalize_missing(view(spark, folder, "dirty_events")))
 
 
 @query(with_view("dirty_events", """
-    SELECT event_id, user_id, event_type, value FROM dirty_events
-    WHERE event_type IS NOT NULL AND value IS NOT NULL"""))
+    SELECT event_id, user_id, CAST(ts AS VARCHAR) AS ts, event_type, value FROM dirty_events
+    WHERE ts IS NOT NULL AND event_type IS NOT NULL AND value IS NOT NULL"""))
 def drop_missing_any(spark: SparkSession, folder: str) -> DataFrame:
-    return missing.drop_missing(view(spark, folder, "dirty_events")).drop("ts")
+    return _with_time_text(missing.drop_missing(view(spark, folder, "dirty_events")))
 
 
 @query(with_view("dirty_events", """
-    SELECT event_id, user_id, event_type, value FROM dirty_events WHERE value IS NOT NULL"""))
+    SELECT event_id, user_id, CAST(ts AS VARCHAR) AS ts, event_type, value FROM dirty_events WHERE value IS NOT NULL"""))
 def drop_missing_cols(spark: SparkSession, folder: str) -> DataFrame:
-    return missing.drop_missing(view(spark, folder, "dirty_events"), ["value"]).drop("ts")
+    return _with_time_text(missing.drop_missing(view(spark, folder, "dirty_events"), ["value"]))
 
 
 @query(with_view("dirty_events", """
@@ -84,15 +91,32 @@ def fill_constant(spark: SparkSession, folder: str) -> DataFrame:
     return filled.select("event_id", "event_type", "value")
 
 
+# A column for each of the five strategies.
 @query(with_view("dirty_events", f"""
     , known AS (
-      SELECT event_id, user_id, CASE WHEN NOT {BLANK} THEN event_type END AS event_type, value FROM dirty_events)
+      SELECT event_id, user_id, CASE WHEN NOT {BLANK} THEN event_type END AS event_type, value,
+        CASE WHEN event_id % 4 > 0 THEN value END AS second,
+        CASE WHEN event_id % 3 > 0 THEN 'k' || CAST(event_id % 5 AS VARCHAR) END AS code,
+        CASE WHEN event_id % 6 > 0 THEN CAST(user_id AS INTEGER) END AS owner FROM dirty_events)
+    , common AS (
+      SELECT code FROM known WHERE code IS NOT NULL GROUP BY code ORDER BY count(*) DESC, code LIMIT 1)
     SELECT event_id, user_id, event_type,
-      round(coalesce(value, (SELECT quantile_cont(value, 0.5) FROM known)), 6) AS value
+      round(coalesce(value, (SELECT quantile_cont(value, 0.5) FROM known)), 6) AS value,
+      round(coalesce(second, (SELECT avg(second) FROM known)), 6) AS second,
+      coalesce(code, (SELECT code FROM common)) AS code, coalesce(owner, -1) AS owner
     FROM known WHERE event_type IS NOT NULL"""))
 def treat_missing(spark: SparkSession, folder: str) -> DataFrame:
-    known = missing.normalize_missing(view(spark, folder, "dirty_events")).drop("ts")
-    return rounded(missing.treat_missing(known, {"value": "median", "event_type": "drop"}), ["value"])
+    known = missing.normalize_missing(view(spark, folder, "dirty_events")).selectExpr(
+        "event_id",
+        "user_id",
+        "event_type",
+        "value",
+        "CASE WHEN event_id % 4 > 0 THEN value END AS second",
+        "CASE WHEN event_id % 3 > 0 THEN concat('k', event_id % 5) END AS code",
+        "CASE WHEN event_id % 6 > 0 THEN int(user_id) END AS owner",
+    )
+    strategies = {"value": "median", "event_type": "drop", "second": "mean", "code": "mode", "owner": ("constant", -1)}
+    return rounded(missing.treat_missing(known, strategies), ["value", "second"])
 
 
 def _duplicates(keys: str) -> str:
@@ -158,6 +182,14 @@ def clean_numeric_text(spark: SparkSession, folder: str) -> DataFrame:
     return repair.clean_numeric_text(view(spark, folder, "text_customer"), "amount_text").drop("signup_date")
 
 
+@query(with_view("text_customer", """
+    SELECT c_custkey, TRY_CAST(regexp_replace(amount_text, '[^0-9.+-]', '', 'g') AS DOUBLE) AS amount_text
+    FROM text_customer"""))
+def clean_numeric_strict(spark: SparkSession, folder: str) -> DataFrame:
+    texts = view(spark, folder, "text_customer").drop("signup_date")
+    return repair.clean_numeric_text(texts, "amount_text", strict=True)
+
+
 def _fill(function: str, frame: str, keys: str) -> str:
     return with_view("dirty_events", f"""
     SELECT event_id, user_id, {function}(value IGNORE NULLS) OVER (

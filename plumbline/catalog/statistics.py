@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.catalog.base import query, rounded, view, with_view
 from plumbline.operators import outliers, summaries
+from plumbline.plans.quantiles import approx_quantiles
+from plumbline.plans.stats import one_row_per
 from plumbline.sources.tables import read_table
 
 MOMENTS = """round(avg(l_extendedprice), 6) AS mean, round(stddev_samp(l_extendedprice), 6) AS stddev,
@@ -91,12 +94,50 @@ def class_balance(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(" UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, round(var_samp({c}), 4) AS variance FROM lineitem"
-    for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
+    f"""SELECT '{c}' AS column_name, CASE WHEN var_samp({c}) > 1000000 THEN round(var_samp({c}), 1)
+               ELSE round(var_samp({c}), 6) END AS variance FROM lineitem"""
+    for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+              "l_tax")
 ))
 def variances(spark: SparkSession, folder: str) -> DataFrame:
-    lineitem = read_table(spark, folder, "lineitem").drop("l_extendedprice")
-    return rounded(summaries.variances(lineitem), ["variance"], 4)
+    found = summaries.variances(read_table(spark, folder, "lineitem"))
+    variance = F.col("variance")
+    places = F.when(variance > 1_000_000, F.round(variance, 1)).otherwise(F.round(variance, 6))
+    return found.withColumn("variance", places)
+
+
+QUARTERS = [0.01, 0.25, 0.5, 0.75, 0.99]
+LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+                "l_tax"]
+
+
+# A sketch may name any value whose rank is within 1 % of the rows from the wanted one: the ranks are counted.
+@query(" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST({p} AS DOUBLE) AS probability, count({c}) AS n_values, true AS within_error FROM lineitem"
+    for c in LINE_NUMBERS for p in QUARTERS
+))
+def quantiles_approx(spark: SparkSession, folder: str) -> DataFrame:
+    lineitem = read_table(spark, folder, "lineitem")
+    found = approx_quantiles(lineitem, LINE_NUMBERS, QUARTERS, 0.01)
+    entries = []
+    for c in LINE_NUMBERS:
+        for p, value in zip(QUARTERS, found[c]):
+            n, x = F.count(c), F.col(c)
+            reached = (F.count_if(x < value) <= (p + 0.01) * n + 1) & (F.count_if(x <= value) >= (p - 0.01) * n - 1)
+            entries.append([
+                F.lit(c).alias("column_name"), F.lit(p).alias("probability"), n.alias("n_values"), reached.alias("within_error")
+            ])
+    return one_row_per(lineitem, entries)
+
+
+@query("SELECT count(DISTINCT l_shipdate) AS n_unique FROM lineitem")
+def unique_count(spark: SparkSession, folder: str) -> DataFrame:
+    return summaries.unique_count(read_table(spark, folder, "lineitem"), "l_shipdate")
+
+
+@query(with_view("dirty_events", " SELECT event_id, user_id, value FROM dirty_events WHERE value <= 20"))
+def invalid_min_invalid_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return outliers.invalid_rows(view(spark, folder, "dirty_events"), "value", 20).select("event_id", "user_id", "value")
 
 
 # Limits of each method, as SQL over the view.

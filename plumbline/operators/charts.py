@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
-from itertools import combinations, combinations_with_replacement
+from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import is_missing, named, number, numeric_columns
-from plumbline.operators.summaries import correlation, top_values
+from plumbline.operators.summaries import top_values
 from plumbline.plans.quantiles import group_quantiles, quantiles
 from plumbline.plans.stats import one_row_per, table_stats
 from plumbline.sources.tables import hash_sample
 
 KDE_BINS = 1_000
 KDE_CUT = 3.0  # how many bandwidths the curve runs past the data
-PAIRS_PER_PASS = 100
+#: Sums that one task merges at a level of the tree.
+MERGED_PARTS = 8
 
 
 def bin_of(value: Column, low: Column, high: Column, bins: int) -> Column:
@@ -111,24 +115,78 @@ def box_stats(df: DataFrame, column: str, relative_error: float = 0.0) -> DataFr
     )
 
 
+def _merged_moments(a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
+    """Moments of two parts of a table: count, mean, squared deviations and co-deviations, each for all pairs."""
+    if a is None:
+        return b
+    n = a[0] + b[0]
+    share = np.divide(a[0] * b[0], n, out=np.zeros_like(n), where=n > 0)
+    apart = b[1] - a[1]
+    mean = a[1] + np.divide(apart * b[0], n, out=np.zeros_like(n), where=n > 0)
+    return np.stack([n, mean, a[2] + b[2] + apart**2 * share, a[3] + b[3] + apart * apart.T * share])
+
+
+def _moments(x: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """Moments of every column over the rows where every other one is filled, as products with the mask."""
+    mask = (~np.isnan(x)).astype(float)
+    y = np.where(mask > 0, x - shift, 0.0)
+    n, total = mask.T @ mask, y.T @ mask
+    mean = np.divide(total, n, out=np.zeros_like(n), where=n > 0)
+    return np.stack([n, shift[:, None] + mean, (y * y).T @ mask - total * mean, y.T @ y - total * mean.T])
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pairwise-complete Pearson correlation of all numeric columns, in long form.
+    """Pairwise-complete Pearson correlation of all numeric columns, in long form; NULL where one is constant.
 
-    All pairs share one scan; a very wide table takes one scan per 100 pairs.
+    One scan for any number of columns: each task sums products of its rows and of their masks, and the sums
+    merge in a tree whose last task writes the result.
     """
     columns = list(columns or numeric_columns(df))
-    values = df.select(*(number(df, c).alias(f"v{i}") for i, c in enumerate(columns)))
-    pairs = list(combinations_with_replacement(range(len(columns)), 2))
-    parts = []
-    for at in range(0, len(pairs), PAIRS_PER_PASS):
-        entries = []
-        for i, j in pairs[at : at + PAIRS_PER_PASS]:
-            a, b = F.col(f"v{i}"), F.col(f"v{j}")
-            r = correlation(a, b) if i != j else F.when(F.min(a) < F.max(a), F.lit(1.0))
-            for x, y in [(i, j)] if i == j else [(i, j), (j, i)]:
-                entries.append([F.lit(columns[x]).alias("x"), F.lit(columns[y]).alias("y"), r.alias("pearson_r")])
-        parts.append(one_row_per(values, entries))
-    return reduce(DataFrame.unionByName, parts)
+    width = len(columns)
+    values = F.array(*(number(df, c) for c in columns)).alias("v")
+
+    def row(total: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        data = b"" if total is None else total.tobytes()
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([data], pa.binary())], ["part", "data"])
+
+    def leaves(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, shift = None, None
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            if len(flat):
+                if shift is None:  # near the mean, so that squares lose nothing
+                    shift = np.nan_to_num(flat[0], posinf=0.0, neginf=0.0)
+                total = _merged_moments(total, _moments(flat.astype(float), shift))
+        return row(total)
+
+    def gathered(batches: Iterable[pa.RecordBatch]) -> np.ndarray | None:
+        total = None
+        for batch in batches:
+            for data in batch.column(1).to_pylist():
+                if data:
+                    total = _merged_moments(total, np.frombuffer(data).reshape(4, width, width))
+        return total
+
+    def last(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = gathered(batches)
+        found = np.full((width, width), np.nan)
+        if total is not None:
+            spread = np.sqrt(total[2]) * np.sqrt(total[2].T)
+            found = np.divide(total[3], spread, out=found, where=spread > 0)
+            np.fill_diagonal(found, np.where(np.diag(spread) > 0, 1.0, np.nan))
+        for i in range(width):
+            line = [[columns[i]] * width, columns, pa.array(found[i], mask=np.isnan(found[i]))]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, line[:2]), line[2]], ["x", "y", "pearson_r"])
+
+    schema = "part int, data binary"
+    parts = df.select(values).mapInArrow(leaves, schema)
+    # One empty part, so that a table without rows has a result too.
+    parts = parts.unionByName(df.sparkSession.sql("SELECT -1 AS part, binary('') AS data"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while (tasks := -(-tasks // MERGED_PARTS)) > 1:
+        parts = parts.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(lambda b: row(gathered(b)), schema)
+    return parts.repartition(1).sortWithinPartitions("part").mapInArrow(last, "x string, y string, pearson_r double")
 
 
 def scatter_sample(
