@@ -13,7 +13,7 @@ from plumbline.operators import inspect as ops
 from plumbline.plans.stats import one_row_per
 from plumbline.session import shared_dir
 from plumbline.sources.tables import hash_sample as keyed_sample
-from plumbline.sources.tables import read_csv, read_table, row_cap
+from plumbline.sources.tables import read_csv, read_csv_checked, read_table, row_cap
 
 
 ORDERS = """o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate,
@@ -44,6 +44,24 @@ def scan_csv_schema(spark: SparkSession, folder: str) -> DataFrame:
     return _with_date_text(read_csv(spark, _written(spark, folder), "orders.csv", schema=schema))
 
 
+# One line in ten is too short, one too long, and one has a key that is no number.
+LINES = """
+    SELECT CASE o_orderkey % 10 WHEN 0 THEN 'short' WHEN 1 THEN 'long' WHEN 2 THEN 'type' ELSE 'fits' END AS reason,
+      concat(CASE WHEN o_orderkey % 10 = 2 THEN 'x' ELSE '' END, o_orderkey, ',', o_custkey,
+        CASE o_orderkey % 10 WHEN 0 THEN '' WHEN 1 THEN concat(',', o_orderstatus, ',more')
+                             ELSE concat(',', o_orderstatus) END) AS line FROM {orders}"""
+
+
+@query(LINES.format(orders="orders"))
+def scan_csv_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/scan_csv-{uuid.uuid4().hex}"
+    spark.sql(LINES, orders=read_table(spark, folder, "orders")).select("line").write.text(f"{path}/orders.csv")
+    schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string"
+    rows, rejects = read_csv_checked(spark, path, schema, "orders.csv", header=False)
+    line = F.concat_ws(",", "o_orderkey", "o_custkey", "o_orderstatus").alias("line")
+    return rows.select(F.lit("fits").alias("reason"), line).unionByName(rejects.select("reason", "line"))
+
+
 @query("""
     SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem
     ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber LIMIT 20000""")

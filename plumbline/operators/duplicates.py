@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,14 +18,20 @@ from plumbline.plans.stats import share
 COPIES = "__copies"
 
 
+def _is_map(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, T.MapType)
+
+
+def _comparable(df: DataFrame, name: str) -> Column:
+    """The column, a map as its sorted entries: maps are equal when these are."""
+    return F.array_sort(F.map_entries(named(name))) if _is_map(df, name) else named(name)
+
+
 def _grouped(df: DataFrame, subset: Sequence[str] | None) -> DataFrame:
-    keys = []
-    for name in subset or df.columns:
-        value = named(name)
-        if isinstance(df.schema[name].dataType, T.MapType):
-            value = F.array_sort(F.map_entries(value))
-        keys.append(value.alias(name))
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(COPIES))
+    names = subset or df.columns
+    counted = df.groupBy(*(_comparable(df, c).alias(c) for c in names)).agg(F.count(F.lit(1)).alias(COPIES))
+    maps = {c: F.map_from_entries(named(c)) for c in names if _is_map(df, c)}
+    return counted.withColumns(maps) if maps else counted
 
 
 def duplicate_summary(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
@@ -47,4 +53,9 @@ def duplicate_groups(df: DataFrame, subset: Sequence[str] | None = None, count_n
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
-    return df.dropDuplicates()
+    """One row of each set of equal rows, in the columns of the table."""
+    maps = [c for c in df.columns if _is_map(df, c)]
+    if not maps:
+        return df.dropDuplicates()
+    keys = {f"__map{i}": _comparable(df, c) for i, c in enumerate(maps)}
+    return df.withColumns(keys).dropDuplicates([*(c for c in df.columns if c not in maps), *keys]).drop(*keys)

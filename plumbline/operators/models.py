@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import Any
 
@@ -25,6 +26,7 @@ from pyspark.ml.regression import (
     LinearRegression,
     RandomForestRegressor,
 )
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -189,17 +191,26 @@ def evaluate_regressor(model: PipelineModel, test: DataFrame, target: str) -> Da
     return metrics.regression_metrics(model.transform(test).where(named(target).isNotNull()), target, "prediction")
 
 
+#: Models that are trained at the same time.
+CONCURRENT_MODELS = 4
+
+
 def _collect_results(
     spark: SparkSession, names: Sequence[str], attempt: Callable[[str], tuple[PipelineModel, DataFrame]]
 ) -> tuple[dict[str, PipelineModel], DataFrame]:
-    fitted, lines = {}, []
-    for name in names:
+    """Train several models at a time: the small jobs of one fill the cluster while another one plans."""
+
+    def line_up(name: str) -> tuple[PipelineModel | None, list[tuple]]:
         try:
             model, found = attempt(name)
-            lines += [(name, r["metric"], r["value"], None) for r in found.collect()]
-            fitted[name] = model
+            return model, [(name, r["metric"], r["value"], None) for r in found.collect()]
         except Exception as error:  # one model that fails must not lose the others
-            lines.append((name, None, None, str(error).splitlines()[0]))
+            return None, [(name, None, None, str(error).splitlines()[0])]
+
+    with ThreadPoolExecutor(CONCURRENT_MODELS) as pool:
+        done = list(pool.map(inheritable_thread_target(spark)(line_up), names))
+    fitted = {name: model for name, (model, _) in zip(names, done) if model is not None}
+    lines = [line for _, found in done for line in found]
     return fitted, spark.createDataFrame(lines, "model string, metric string, value double, error string")
 
 

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from plumbline.functions.columns import NESTED, named, type_class
 from plumbline.functions.text import unit_hash
 from plumbline.plans.ordering import first_rows
 
+REJECT = "_rejected_line"
+
 
 def read_csv(
     spark: SparkSession,
@@ -39,6 +42,37 @@ def read_csv(
     return row_cap(reader.csv(path), nrows, order_by)
 
 
+def read_csv_checked(
+    spark: SparkSession, path: str, schema: StructType | str, filename: str | None = None, header: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """The lines of a CSV that fit a schema as rows, and the others as rejects: file, line, reason.
+
+    The reasons are ``short`` and ``long`` (too few and too many fields) and ``type`` (a field that is no
+    value of its column). Each line of the file that holds data is in one of the two tables.
+    """
+    if filename:
+        path = path.strip().rstrip("/") + "/" + filename.strip()
+    wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    whole = StructType([*wanted.fields, StructField(REJECT, StringType())])
+    found = spark.read.schema(whole).option("header", header).option("columnNameOfCorruptRecord", REJECT).csv(path)
+    # Which lines fit is known once all fields are read, also for a count: a condition that always holds asks for them.
+    found = found.where(F.pmod(F.xxhash64(*(named(f.name) for f in wanted.fields)), F.lit(2)) < 2)
+    rejected = F.col(REJECT).isNotNull()
+    rows = found.where(~rejected).select(*(named(f.name) for f in wanted.fields))
+    # The line as text fields, and with one field to spare, shows whether its length or a value is wrong.
+    width = len(wanted.fields)
+
+    def as_text(n: int) -> Column:
+        names = ", ".join([*(f"`f{i}` string" for i in range(n)), f"`{REJECT}` string"])
+        return F.from_csv(F.col(REJECT), names, {"columnNameOfCorruptRecord": REJECT, "mode": "PERMISSIVE"})
+
+    exact, wider = as_text(width), as_text(width + 1)
+    longer = wider[REJECT].isNull() | wider[f"f{width}"].isNotNull() | wider[f"f{width - 1}"].isNotNull()
+    reason = F.when(exact[REJECT].isNull(), "type").when(longer, "long").otherwise("short")
+    lines = found.select(F.col("_metadata.file_path").alias("file"), *(named(c) for c in found.columns)).where(rejected)
+    return rows, lines.select("file", F.col(REJECT).alias("line"), reason.alias("reason"))
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 

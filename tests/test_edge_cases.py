@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import columns
 from plumbline.operators import charts, duplicates, features, inspect, missing, outliers, repair, summaries
-from plumbline.sources.tables import read_csv
+from plumbline.sources.tables import read_csv, read_csv_checked
 
 
 def rows(df):
@@ -282,3 +282,38 @@ def test_zscore_finds_what_it_removes(spark):
     df = spark.createDataFrame([(float(x),) for x in [*range(50), 900, -700]] + [(float("nan"),), (None,)], "x double")
     found, left = outliers.detect(df, "x", "zscore"), outliers.remove(df, "x", "zscore")
     assert found.count() > 0 and found.count() + left.count() == df.count()
+
+
+def test_csv_rejects_add_up(spark, tmp_path):
+    lines = ["1,2.5,x,2024-01-01", "2,bad,y,2024-01-02", "3,1.0", "4,1.0,z,2024-01-01,9", '5,,"q,r",', '6,1,"u,v",2024-99-01',
+             '7,"a,b,c,d"', '8,1,"m,n",2024-01-01,']
+    (tmp_path / "t.csv").write_text("a,b,c,d\n" + "\n".join(lines) + "\n")
+    good, bad = read_csv_checked(spark, str(tmp_path), "a int, b double, c string, d date", "t.csv")
+    assert sorted(r["a"] for r in good.collect()) == [1, 5] and good.count() == 2 and bad.count() == 6
+    found = {r["line"]: r["reason"] for r in bad.collect()}
+    assert found == dict(zip([lines[i] for i in (1, 2, 3, 5, 6, 7)], ["type", "short", "long", "type", "short", "long"]))
+    assert bad.select("file").distinct().count() == 1
+
+
+def test_duplicates_of_maps_stay_maps(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, map('a', 1, 'b', 2)), (1, map('b', 2, 'a', 1)), (1, map('a', 1)), (1, null) AS t(k, m)")
+    (group,) = duplicates.duplicate_groups(df).collect()
+    assert group["m"] == {"a": 1, "b": 2} and group["n_copies"] == 2
+    left = duplicates.drop_duplicates(df)
+    assert left.columns == ["k", "m"] and left.count() == 3
+
+
+def test_correlation_of_many_columns_with_gaps(spark):
+    df = spark.range(500).repartition(7).select(*(
+        F.when(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(9)) > 0, F.rand(i) * 1e6 + F.col("id") * (i % 3) * 1e4 + 1e9).alias(f"c{i}")
+        for i in range(12)
+    ), F.lit(3.0).alias("flat"), F.lit(float("nan")).alias("none")).cache()
+    got = {(r["x"], r["y"]): r["pearson_r"] for r in charts.correlation_matrix(df).collect()}
+    assert len(got) == 14 * 14
+    names = df.columns[:12]
+    pairs = [(a, b) for a in names for b in names]
+    expected = df.agg(*(F.corr(a, b).alias(f"{a}_{b}") for a, b in pairs)).first()
+    for a, b in pairs:
+        assert abs(got[a, b] - expected[f"{a}_{b}"]) < 1e-9
+    assert got["flat", "flat"] is None and got["c1", "flat"] is None and got["none", "c1"] is None
+    assert {r["pearson_r"] for r in charts.correlation_matrix(df.limit(0)).collect()} == {None}
