@@ -111,32 +111,48 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(read_table(spark, folder, "pages"), BLOCK, ALLOW)
 
 
-_CANONICAL = r"""trim(
-  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-  regexp_replace(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*', chr(10), 'g'),
-    '[^0-9a-z\x{{80}}-\x{{10FFFF}}]+', ' ', 'g'),
-    '\bv([0-9])', 'version \1', 'g'), '\blicence\b', 'license', 'g'), '\blicenced\b', 'licensed', 'g'),
-    '\bnoncommercial\b', 'non commercial', 'g'), '\bv\b', 'version', 'g'), ' ')"""
-_KNOWN = ", ".join("('%s', '%s')" % pair for pair in license_scan.KNOWN)
+_LICENCES, _FORMS = license_scan.known_forms()
+_BEGINS, _SPARED = (p.pattern for p in (_LICENCES.begins, _LICENCES.spared))
 
 
 @query(
     "op9_license_scan",
     f"""
-    WITH known AS (
-      SELECT min(license) AS license, {_CANONICAL.format("body")} AS form
-      FROM (VALUES {_KNOWN}) AS k (license, body) GROUP BY form
-    ), units AS (
-      SELECT doc_id, true AS whole, coalesce(text, '') AS body FROM documents
-      UNION ALL
-      SELECT doc_id, false, unnest(string_split(coalesce(text, ''), chr(10))) FROM documents
+    WITH known (license, body, form) AS (
+      VALUES {", ".join("('%s', %s, '%s')" % form for form in _FORMS)}
+    ), raw AS (
+      SELECT doc_id, generate_subscripts(parts, 1) AS place, unnest(parts) AS line FROM (
+        SELECT doc_id, string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+          'abcdefghijklmnopqrstuvwxyz'), chr(10)) AS parts FROM documents)
+    ), lines AS (
+      SELECT doc_id, place, regexp_matches(line, '^{_BEGINS}') AND NOT regexp_matches(line, '^{_SPARED}') AS notice,
+        array_to_string([CASE
+            WHEN regexp_matches(w, '^v[0-9]') THEN 'version ' || w[2:]
+            {" ".join(f"WHEN w = '{a}' THEN '{b}'" for a, b in license_scan.SPELLINGS)} ELSE w END
+          FOR w IN string_split(regexp_replace(line, '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', ' ', 'g'), ' ') IF w != ''], ' ') AS form
+      FROM raw
+    ), texts AS (
+      SELECT doc_id, min(place) FILTER (NOT notice AND form != '') AS first_other,
+        chr(10) || coalesce(string_agg(form, chr(10) ORDER BY place) FILTER (form != ''), '') || chr(10) AS whole,
+        chr(10) || coalesce(string_agg(form, chr(10) ORDER BY place) FILTER (form != '' AND NOT notice), '') || chr(10) AS plain
+      FROM lines GROUP BY doc_id
+    ), heads AS (
+      SELECT doc_id, coalesce(sum(length(form) + 1) FILTER (first_other IS NULL OR place < first_other), 0) AS before
+      FROM lines JOIN texts USING (doc_id) WHERE form != '' GROUP BY doc_id
+    ), flat AS (
+      SELECT *, translate(plain, chr(10), ' ') AS plain_words, translate(whole, chr(10), ' ') AS whole_words
+      FROM texts LEFT JOIN heads USING (doc_id)
     ), found AS (
-      SELECT doc_id, whole, license FROM units LEFT JOIN known ON form = {_CANONICAL.format("units.body")}
+      SELECT doc_id, license, plain_words = ' ' || form || ' '
+        OR (body AND ends_with(whole_words, ' ' || form || ' ') AND length(whole) - length(form) - 2 < before) AS of_text
+      FROM flat JOIN known ON contains(whole_words, ' ' || form || ' ') OR contains(plain_words, ' ' || form || ' ')
+      WHERE body OR plain_words = ' ' || form || ' '
+        OR regexp_matches(whole, chr(10) || replace(form, ' ', '[ ' || chr(10) || ']') || chr(10))
+        OR regexp_matches(plain, chr(10) || replace(form, ' ', '[ ' || chr(10) || ']') || chr(10))
     )
-    SELECT doc_id, min(license) FILTER (whole) AS license_of_text,
+    SELECT doc_id, min(license) FILTER (of_text) AS license_of_text,
       coalesce(string_agg(DISTINCT license, ',' ORDER BY license), '') AS licenses
-    FROM found GROUP BY doc_id
+    FROM documents LEFT JOIN found USING (doc_id) GROUP BY doc_id
     """,
 )
 def op9(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -334,7 +335,28 @@ def test_whole_licenses_however_wrapped(spark):
             cases += [(name, name, wrapped), (None, name, f"Some words before.\n\n# Copyright (c) 2020 X\n\n{wrapped}\n\nand after")]
     cases.append((None, "Apache-2.0", "About.\nLicensed under the Apache License,\nVersion 2.0.\nMore."))
     cases.append(("MIT", "MIT", "MIT License\n\nCopyright (c) 2020 X\n\n" + bodies["MIT"]))
+    curly = re.sub(r'"([^"]*)"', "\u201c\\1\u201d", bodies["MIT"]).replace("copy, modify", "copy\u2014modify")
+    cases.append(("MIT", "MIT", curly))
+    one_line = " ".join(bodies["MIT"].split())
+    cases.append(("MIT", "MIT", "Copyright (c) 2020 X\nCopyright (c) 2021 Y " + one_line))
+    cases.append((None, "MIT", "Copyright (c) 2020 X " + one_line + " More words."))
+    cases.append((None, "MIT", "Some words. Copyright (c) 2020 X " + one_line))
     docs = spark.createDataFrame([(i, c[2]) for i, c in enumerate(cases)], "doc_id int, text string")
-    for r in license_scan.scan(docs).collect():
+    found = license_scan.scan(docs)
+    for r in found.collect():
         whole, name, text = cases[r["doc_id"]]
         assert r["license_of_text"] == whole and name in r["licenses"], (name, text[:60], r)
+    # The checking SQL states the runs too.
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    want = con.sql(CHECKS["op9_license_scan"]).fetchall()
+    assert sorted(want) == sorted((r["doc_id"], r["license_of_text"], ",".join(r["licenses"])) for r in found.collect())
+
+
+def test_licenses_work_follows_the_text_not_their_number(spark):
+    """A thousand licences: same plan, each found; a notice inside a line is none."""
+    known = [(f"L{i}", f"Permission number {i} is granted to all who ask") for i in range(1000)]
+    texts = [known[7][1], f"a\n{known[8][1][:20]}\n{known[8][1][20:]}\nb", f"a {known[9][1]} b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: (r["license_of_text"], r["licenses"]) for r in license_scan.scan(docs, known).collect()}
+    assert got == {0: ("L7", ["L7"]), 1: (None, ["L8"]), 2: (None, [])}
