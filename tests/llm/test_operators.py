@@ -164,6 +164,33 @@ def test_embeddings_odd_rows(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_embedding_links_of_all_rows(spark):
+    """Clouds around shared centres, against all pairs; a pair at exactly the threshold; clashing columns."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((150, 32))
+    vectors = centres[rng.integers(0, 150, 900)] + 0.22 * rng.standard_normal((900, 32))
+    vectors[:2] = 0
+    vectors[0, 0], vectors[1, :2] = 1, (0.6, 0.8)
+    rows = [(i, v.tolist(), 1, "x", 0) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, node string, shared int")
+    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = (units @ units.T >= 0.93).sum(axis=1) - 1
+    for block in (512, 3):  # a small block cuts buckets into slices
+        got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(df, block=block).collect()}
+        assert want.sum() > 500 and sum(got.values()) >= 0.99 * want.sum()
+        assert all(got[i] <= want[i] for i in got)
+    two = df.where("vec_id < 2")
+    assert [r["n_links"] for r in embedding_dedup.near_duplicates(two, threshold=0.6).collect()] == [1, 1]
+
+
+def test_embedding_tables_follow_the_label():
+    """Unrelated vectors met stay few, and near pairs found, at every size."""
+    near, far = (embedding_dedup.same_step(math.sqrt(2 - 2 * c)) for c in (0.93, 0.0))
+    for n in (10, 1_000, 100_000, 10**9):
+        k, tables = embedding_dedup.plan(n, 0.93)
+        assert n * tables * far**k <= embedding_dedup.STRANGERS and (1 - near**k) ** tables <= embedding_dedup.MISSED
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, 200), (300, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
