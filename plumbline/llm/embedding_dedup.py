@@ -163,22 +163,23 @@ def near_duplicates(
 
     def compared(part: pd.DataFrame) -> pd.DataFrame:
         keys, counts, firsts = [], [], []
-        for (bucket, i, j), g in part.groupby(["bucket", "i", "j"], sort=False):
-            if len(g) < 2 or len(set(map(len, g["v"]))) > 1:
-                continue
-            units = _units(_matrix(g["v"]))
-            links = units @ units.T >= threshold
-            np.fill_diagonal(links, False)
-            if i != j:
-                own = g["own"].to_numpy()
-                links &= own[:, None] != own[None, :]
-            if not links.any():
-                continue
-            n = (links & ~_together(g["shared"], bucket)) @ g["copies"].to_numpy()
-            key = g["node"].to_numpy()
-            lowest = key[_lowest(links)]
-            use = links.any(axis=1)
-            keys.append(key[use]), counts.append(n[use]), firsts.append(lowest[use])
+        for _, rows in part.groupby(part["v"].map(len), sort=False):
+            rows = rows.sort_values(["bucket", "i", "j"])
+            units, shared = _units(_matrix(rows["v"])), rows["shared"].to_numpy()
+            bucket, i, j, own, node, copies = (rows[c].to_numpy() for c in ("bucket", "i", "j", "own", "node", "copies"))
+            new = (np.diff(bucket) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)
+            edges = [0, *(np.nonzero(new)[0] + 1), len(rows)]
+            for begin, end in zip(edges, edges[1:]):
+                links = units[begin:end] @ units[begin:end].T >= threshold
+                np.fill_diagonal(links, False)
+                if i[begin] != j[begin]:
+                    links &= own[begin:end, None] != own[None, begin:end]
+                use = links.any(axis=1)
+                if not use.any():
+                    continue
+                name = node[begin:end]
+                n = (links & ~_together(shared[begin:end], bucket[begin])) @ copies[begin:end]
+                keys.append(name[use]), counts.append(n[use]), firsts.append(name[_lowest(links)][use])
         none = [np.zeros(0, np.int64)]
         columns = {"node": keys or none, "n": counts or none, "first": firsts or none}
         return pd.DataFrame({name: np.concatenate(parts) for name, parts in columns.items()})
