@@ -90,8 +90,10 @@ def regression_metrics(spark: SparkSession, folder: str) -> DataFrame:
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
 
 
-def _data(spark: SparkSession, folder: str, name: str = "ml_lineitem") -> tuple[DataFrame, DataFrame]:
-    rows, train = parts(spark, folder, name, "split_key")
+def _data(
+    spark: SparkSession, folder: str, name: str = "ml_lineitem", key: str = "split_key"
+) -> tuple[DataFrame, DataFrame]:
+    rows, train = parts(spark, folder, name, key)
     return train, rows.where(F.col("split") == "test")
 
 
@@ -302,6 +304,16 @@ def leaderboard(spark: SparkSession, folder: str) -> DataFrame:
     return board.withColumn("value", F.col("value") + F.lit(0.0))
 
 
+@query(with_view("dirty_events", marked("dirty_events", "event_id") + """
+    SELECT split AS part, count(*) AS n_rows, count(*) FILTER (event_type IS NULL) AS n_without_target,
+      count(*) FILTER (event_type IS NOT NULL AND (value IS NULL OR user_id IS NULL)) AS n_without_feature,
+      count(*) FILTER (event_type IS NOT NULL AND value IS NOT NULL AND user_id IS NOT NULL) AS n_used
+    FROM m GROUP BY split"""))
+def rows_used(spark: SparkSession, folder: str) -> DataFrame:
+    train, test = _data(spark, folder, "dirty_events", "event_id")
+    return ops.rows_used(train, test, ["value", "user_id"], "event_type")
+
+
 # The tree follows the step exactly, the line can not.
 @query("""
     SELECT metric, 'Decision Tree Regressor' AS model, CAST(value AS DOUBLE) AS value, 1 AS place

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator, Sequence
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -98,6 +97,40 @@ def kde(df: DataFrame, column: str, grid: int = 200, bins: int = KDE_BINS) -> Da
     return _curve(points, [], grid)
 
 
+def _shapes(values: DataFrame) -> Column:
+    """Statistics that the curves of columns v0, v1, ... need, from one scan."""
+    return table_stats(values, **{f"{n}{c[1:]}": e for c in values.columns for n, e in _shape(F.col(c)).items()})
+
+
+def _curves(values: DataFrame, names: Sequence[str], shape: Column, grid: int, bins: int = KDE_BINS) -> DataFrame:
+    """The ``kde`` of each of the columns v0, v1, ...: one more scan for all of them."""
+    fine = F.array(
+        *(
+            F.struct(
+                F.lit(i).alias("place"),
+                bin_of(F.col(f"v{i}"), shape[f"low{i}"], shape[f"high{i}"], bins).alias("bin"),
+                F.col(f"v{i}").alias("v"),
+            )
+            for i in range(len(names))
+        )
+    )
+    shapes = F.array(
+        *(
+            F.struct(F.lit(name).alias("column_name"), *(shape[f"{n}{i}"].alias(n) for n in ("low", "high", "spread", "total")))
+            for i, name in enumerate(names)
+        )
+    )
+    points = (
+        values.select(F.inline(fine))
+        .where(F.col("bin").isNotNull())
+        .groupBy("place", "bin")
+        .agg(F.count(F.lit(1)).alias("weight"), F.avg("v").alias("at"))
+        .withColumn("shape", F.get(shapes, F.col("place")))
+        .select("weight", "at", "shape.*")
+    )
+    return _curve(points, ["column_name"], grid)
+
+
 def box_stats(df: DataFrame, column: str, relative_error: float = 0.0) -> DataFrame:
     """Quartiles, whiskers (extreme values within 1.5 IQR) and the number of points beyond."""
     found = quantiles(df, [column], [0.25, 0.5, 0.75], relative_error)[column]
@@ -215,11 +248,10 @@ def pair_data(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 2
     """
     columns = list(columns or numeric_columns(df))
     values = df.select(*(number(df, c).alias(f"v{i}") for i, c in enumerate(columns)))
-    ends = {f"{e}{i}": f(f"v{i}") for i in range(len(columns)) for e, f in (("lo", F.min), ("hi", F.max))}
-    reach = table_stats(values, **ends)
+    shape = _shapes(values)
     binned = values.select(
         *(
-            bin_of(F.col(f"v{i}"), reach[f"lo{i}"], reach[f"hi{i}"], bins).alias(f"b{i}")
+            bin_of(F.col(f"v{i}"), shape[f"low{i}"], shape[f"high{i}"], bins).alias(f"b{i}")
             for i in range(len(columns))
         )
     )
@@ -241,17 +273,14 @@ def pair_data(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 2
         .groupBy("x", "y", "x_bin", "y_bin")
         .agg(F.count(F.lit(1)).cast("double").alias("value"))
     )
-    diagonal = [
-        kde(df, c, grid).select(
-            F.lit(c).alias("x"),
-            F.lit(c).alias("y"),
-            F.col("grid_point").alias("x_bin"),
-            F.lit(None).cast("int").alias("y_bin"),
-            F.col("density").alias("value"),
-        )
-        for c in columns
-    ]
-    return reduce(DataFrame.unionByName, diagonal, density)
+    diagonal = _curves(values, columns, shape, grid).select(
+        F.col("column_name").alias("x"),
+        F.col("column_name").alias("y"),
+        F.col("grid_point").alias("x_bin"),
+        F.lit(None).cast("int").alias("y_bin"),
+        F.col("density").alias("value"),
+    )
+    return density.unionByName(diagonal)
 
 
 def missing_matrix(df: DataFrame, order_column: str, buckets: int = 50) -> DataFrame:

@@ -238,6 +238,27 @@ def compare_regressors(
         return _collect_results(train.sparkSession, names, attempt)
 
 
+def rows_used(train: DataFrame, test: DataFrame, features: Sequence[str], target: str) -> DataFrame:
+    """How many rows models of these features are trained and judged on, and why others are left out.
+
+    A row needs a target and, as vectors are assembled, a value in each feature that is no text.
+    """
+
+    def counted(name: str, df: DataFrame) -> DataFrame:
+        texts = categorical_columns(df)
+        filled = reduce(Column.__and__, [number(df, c).isNotNull() for c in features if c not in texts], F.lit(True))
+        labelled = named(target).isNotNull()
+        return df.agg(
+            F.lit(name).alias("part"),
+            F.count(F.lit(1)).alias("n_rows"),
+            F.count_if(~labelled).alias("n_without_target"),
+            F.count_if(labelled & ~filled).alias("n_without_feature"),
+            F.count_if(labelled & filled).alias("n_used"),
+        )
+
+    return counted("train", train).unionByName(counted("test", test))
+
+
 LOWER_IS_BETTER = ("RMSE", "MAE", "MSE")
 
 

@@ -271,6 +271,16 @@ def test_pair_data_takes_every_numeric_column(spark):
     assert found.where("x = y").select("x").distinct().count() == 6
 
 
+def test_pair_data_curves_are_those_of_each_column(spark):
+    df = spark.range(200).selectExpr("id", "if(id % 7 = 0, null, sin(id)) AS s", "if(id % 5 = 0, double('nan'), id * id) AS q", "1 AS flat")
+    found = charts.pair_data(df, grid=9).where("x = y").collect()
+    for c in df.columns:
+        want = {r["grid_point"]: r["density"] for r in charts.kde(df, c, 9).collect()}
+        got = {r["x_bin"]: r["value"] for r in found if r["x"] == c}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert charts.pair_data(df.limit(0)).count() == 0
+
+
 def test_large_whole_numbers_keep_their_ends(spark):
     df = spark.createDataFrame([(9007199254740993,), (9007199254740992,), (None,)], "n bigint")
     row = inspect.describe(df).first()

@@ -153,3 +153,13 @@ def test_scoring_keeps_rows_that_lack_a_feature(spark):
     assert chances.count() == 400 and chances.where("probability IS NULL").count() == 40
     line = models.fit_regressor("Linear Regression", df, ["x"], "y")
     assert models.score(line, df, ["id"]).where("prediction IS NULL").count() == 20
+
+
+def test_rows_used_are_those_a_model_sees(spark):
+    nan = float("nan")
+    rows = [(1.0, "a", "x"), (2.0, None, "y"), (None, "a", "x"), (nan, "b", "y"), (3.0, "b", None), (4.0, "a", "y")]
+    df = spark.createDataFrame(rows, "v double, t string, y string")
+    train, test = models.rows_used(df, df.limit(0), ["v", "t"], "y").collect()
+    assert train[:] == ("train", 6, 1, 2, 3) and test[:] == ("test", 0, 0, 0, 0)
+    fitted = models.fit_classifier("Decision Tree", df, ["v", "t"], "y", models.BINARY)
+    assert fitted.transform(df.where("y is not null")).count() == train["n_used"]
