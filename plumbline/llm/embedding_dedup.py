@@ -7,7 +7,7 @@ probability 0.851; unrelated ones lie 1.414 apart and share it with probability
 The number of directions follows the logarithm of the largest label, so that a vector
 meets about ``STRANGERS`` unrelated ones however many there are; the number of tables
 follows from it, so that none joins a pair at 0.93 with probability ``MISSED`` at most
-(8 directions and 20 tables for labels of 100 vectors, 15 and 70 for 5,000). Closer
+(8 directions and 20 tables for labels of 100 vectors, 15 and 68 for 5,000). Closer
 pairs are missed far less often.
 
 Equal vectors of a label are one row from the start. Buckets of one row are dropped; a
