@@ -84,6 +84,7 @@ _PLAIN = bytes(b if b == 10 or 48 <= b < 58 or 97 <= b < 123 or b > 127 else 32
 
 def texts() -> list[tuple[str, str]]:
     """Whole licence texts by licence, each without what may be left out: its appendix, its title."""
+    # The files hold public licence texts word for word, since digests must match.
     out = []
     for file in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
         body = file.read_text()
