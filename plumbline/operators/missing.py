@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.columns import MISSING_TOKENS, NUMERIC, is_missing, is_null, named, number, type_class
+from plumbline.plans.frequent import VALUE, frequent
 from plumbline.plans.quantiles import quantiles
 from plumbline.plans.stats import one_row_per, share, table_stats
 
@@ -79,17 +80,8 @@ def mode_fills(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
     """Most frequent value of each column, the smallest one on a tie."""
     fills = {}
     for c in columns:
-        value = _value_or_null(df, c).alias("value")
-        fills[c] = (
-            df.select(value)
-            .where(F.col("value").isNotNull())
-            .groupBy("value")
-            .agg(F.count(F.lit(1)).alias("rows"))
-            .orderBy(F.desc("rows"), F.asc("value"))
-            .limit(1)
-            .select("value")
-            .scalar()
-        )
+        filled = df.select(_value_or_null(df, c).alias("value")).where(F.col("value").isNotNull())
+        fills[c] = frequent(filled, F.col("value"), 1).select(VALUE).scalar()
     return fills
 
 

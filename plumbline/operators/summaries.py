@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import named, number, numeric_columns
+from plumbline.plans.frequent import N_ROWS, VALUE, frequent
 from plumbline.plans.quantiles import quantiles
 from plumbline.plans.stats import one_row_per
 
@@ -57,12 +58,7 @@ def quantile_table(
 
 def top_values(df: DataFrame, column: str, n: int = 20) -> DataFrame:
     """Most frequent values, ties in value order; NULL is a value here."""
-    return (
-        df.groupBy(named(column).alias(column))
-        .agg(F.count(F.lit(1)).alias("n_rows"))
-        .orderBy(F.desc("n_rows"), named(column).asc_nulls_first())
-        .limit(n)
-    )
+    return frequent(df, named(column), n).select(F.col(VALUE).alias(column), F.col(N_ROWS).alias("n_rows"))
 
 
 def group_stats(df: DataFrame, category: str, value: str, n: int = 10) -> DataFrame:
