@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from oracle import connect, difference
@@ -295,8 +296,9 @@ def test_lm_counts_pairs_across_words_of_all_documents(spark, folder, monkeypatc
     got = {r["doc_id"]: r["score"] for r in lm_scoring.score(docs, F.col("t"), BYTES).where("doc_id >= 900").collect()}
     assert got[900] > got[901]
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    counts = lm_scoring.corpus_counts(docs, BYTES).collect()
     held = lm_scoring.Subwords(BYTES)
+    table = lm_scoring.encoded(docs, F.lit(True), BYTES, "doc_id", "text", 3)
+    counts = lm_scoring.corpus_counts(table, held.size).collect()
     want = collections.Counter()
     for r in docs.collect():
         ids, _ = held.sequences(lm_scoring.words_of([r["text"] or ""]), held.size - 1)
@@ -310,29 +312,75 @@ def test_lm_counts_pairs_across_words_of_all_documents(spark, folder, monkeypatc
     assert all(math.isclose(one[k], two[k], rel_tol=1e-6) for k in one)
 
 
-def test_lm_gradient_of_all_windows(spark):
-    texts = ["the cat sat on the mat", "and then some more of it " * 20, "", "mat cat"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+def _start(texts):
     held = lm_scoring.Subwords(BYTES)
     end = held.size - 1
     ids, sizes = held.sequences(lm_scoring.words_of(texts), end)
     model = lm_scoring.fresh(ids, sizes, np.arange(held.size) % 2 == 0, end, np.random.default_rng(0))
-    grad, n = lm_scoring.corpus_gradient(docs, model, BYTES, end)
-    assert n == len(ids)
-
-    def loss(bias):
-        model.bias = bias
-        return -sum(
-            math.log(p)
-            for text in texts
-            for p in _class_chances(model, *held.sequences(lm_scoring.words_of([text]), end), end)
-        )
-
-    step = np.zeros(lm_scoring.CLASSES, np.float32)
-    step[model.group[end]] = 1e-2
-    bias = model.bias
-    slope = (loss(bias + step) - loss(bias - step)) / 2e-2
-    assert math.isclose(slope, grad["bias"][model.group[end]], rel_tol=2e-2, abs_tol=1e-2)
+    return held, end, ids, sizes, model
+
+
+LM_TEXTS = ["the cat sat on the mat", "and then some more of it " * 20, "", "mat cat"]
+
+
+def test_lm_gradient_of_all_windows():
+    _, end, ids, sizes, model = _start(LM_TEXTS)
+    inputs, depth, targets = lm_scoring.windows(ids, sizes, end)
+    targets.reshape(-1)[len(ids) :] = -1
+    grad = lm_scoring._zeros(model, np.float64)
+    assert lm_scoring.gradients(model, inputs, depth, targets, grad) == len(ids)
+
+    def loss(name, table):
+        setattr(model, name, table)
+        return -np.log(_class_chances(model, ids, sizes, end)).sum()
+
+    for name in model.trained():
+        table = getattr(model, name)
+        place = np.unravel_index(np.abs(grad[name]).argmax(), table.shape)
+        step = np.zeros_like(table)
+        step[place] = 1e-2
+        slope = (loss(name, table + step) - loss(name, table - step)) / 2e-2
+        setattr(model, name, table)
+        assert math.isclose(slope, grad[name][place], rel_tol=3e-2, abs_tol=1e-2), name
+
+
+def test_lm_round_averages_what_tasks_learn(spark):
+    texts = [f"{a} {b} and {a}" * (1 + i % 5) for i, (a, b) in enumerate(zip("red green blue " * 40, "cat dog bird " * 40))]
+    held, end, ids, sizes, model = _start(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    table = lm_scoring.encoded(docs.repartition(3), F.lit(True), BYTES, "id", "text", 3)
+    rows = table.collect()
+    assert sorted(r["ids"] for r in rows) == sorted(
+        held.sequences(lm_scoring.words_of([t]), end)[0].astype("<u2").tobytes() for t in texts
+    )
+    assert all(0 <= r["draw"] < 1 for r in rows) and len({r["draw"] for r in rows}) == len(rows)
+    one = lm_scoring.corpus_round(table.coalesce(1), model, end, 0.01)
+    in_order = [lm_scoring._values(pa.array([r["ids"]]), "<u2") for r in table.coalesce(1).collect()]
+    whole = (np.concatenate([i for i, _ in in_order]), np.concatenate([n for _, n in in_order]))
+    want, places = lm_scoring.learned(model, iter([whole]), end, 0.01)
+    assert places == len(ids)
+    for name in model.trained():
+        assert np.allclose(getattr(one, name), getattr(want, name), atol=1e-5), name
+    # Many tasks go through the tree; all of them count by their places.
+    many = lm_scoring.corpus_round(table.repartition(2 * lm_scoring.MERGED + 3), model, end, 0.01)
+
+    def loss(model):
+        return -np.log(_class_chances(model, ids, sizes, end)).sum()
+
+    assert loss(one) < loss(model) and loss(many) < loss(model)
+    none = lm_scoring.corpus_round(table.where("false"), model, end, 0.01)
+    assert np.array_equal(lm_scoring._flat(none), lm_scoring._flat(model))
+
+
+def test_lm_scores_as_the_model_says():
+    """The reader's class chances are those of the plain forward pass."""
+    held, end, ids, sizes, model = _start(LM_TEXTS)
+    counts = np.bincount(ids, minlength=held.size).astype(float)
+    reader = lm_scoring.Reader(model, counts, np.zeros((lm_scoring.PAIRED, lm_scoring.PAIRED)), end)
+    mass = np.bincount(model.group, weights=counts + 1, minlength=lm_scoring.CLASSES)
+    inside = (counts[ids] + 1) / mass[model.group[ids]]
+    want = np.log(_class_chances(model, ids, sizes, end)) + np.log(inside)
+    assert np.allclose(reader.log_chances(ids, sizes), want, atol=1e-3)
 
 
 def _class_chances(model, ids, sizes, end):
