@@ -298,7 +298,7 @@ def test_lm_counts_pairs_across_words_of_all_documents(spark, folder, monkeypatc
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     held = lm_scoring.Subwords(BYTES)
     table = lm_scoring.encoded(docs, F.lit(True), BYTES, "doc_id", "text", 3)
-    counts = lm_scoring.corpus_counts(table, held.size).collect()
+    counts = lm_scoring.corpus_counts(table, lm_scoring.initial_ids(held)).collect()
     want = collections.Counter()
     for r in docs.collect():
         ids, _ = held.sequences(lm_scoring.words_of([r["text"] or ""]), held.size - 1)
