@@ -36,18 +36,22 @@ LEAST_GAIN, LEAST_WEIGHT, PENALTY = 1e-6, 1.0, 1.0
 BLOCK_ROWS = 16_384
 #: Sums of a level that go to the driver at once; larger ones meet in tasks, one for each node and feature.
 DRIVER_BYTES = 2**26
+#: Rows of a task, unless there are cores for more tasks: tasks follow the rows, not the shuffle setting.
+TASK_ROWS = 2**20
 #: Rounds between two writes of the margins.
 ROUNDS_PER_CHECKPOINT = 10
 
 
-def derivatives(margins: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and second derivatives of the loss by margin, rows by outputs."""
-    if margins.shape[1] == 1:
+def derivatives(margins: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """First derivatives of the loss by margin, the second ones below them; rows of the table are columns here."""
+    if len(margins) == 1:
         p = 1 / (1 + np.exp(-margins))
-        return p - labels[:, None], np.maximum(p * (1 - p), 1e-16)
-    p = np.exp(margins - margins.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
-    return p - (labels[:, None] == np.arange(p.shape[1])), np.maximum(2 * p * (1 - p), 1e-16)
+        return np.concatenate([p - labels, np.maximum(p * (1 - p), 1e-16)])
+    p = np.exp(margins - margins.max(axis=0))
+    p /= p.sum(axis=0)
+    both = np.concatenate([p, np.maximum(2 * p * (1 - p), 1e-16)])
+    both[labels, np.arange(len(labels))] -= 1
+    return both
 
 
 class Tree:
@@ -61,28 +65,35 @@ class Tree:
         self.value = np.zeros((size, outputs))
 
     def leaf(self, columns: np.ndarray, limits: np.ndarray) -> np.ndarray:
-        """Node where each row ends; it goes left where its feature is at most the node's limit."""
-        node, rows = np.zeros(len(columns), np.int64), np.arange(len(columns))
-        while len(rows):
-            rows = rows[self.feature[node[rows]] >= 0]
-            at = node[rows]
-            left = columns[rows, self.feature[at]] <= limits[at]
-            node[rows] = 2 * at + 2 - left
+        """Node where each row ends, of features by rows; it goes left where its feature is at most the node's limit."""
+        node = np.zeros(columns.shape[1], np.intp)
+        waiting = [(0, np.arange(columns.shape[1]))]
+        while waiting:
+            at, rows = waiting.pop()
+            f = self.feature[at]
+            if f < 0:
+                node[rows] = at
+            elif len(rows):
+                # The root has all rows, in their order.
+                left = (columns[f] if at == 0 else columns[f][rows]) <= limits[at]
+                waiting += [(2 * at + 1, rows[left]), (2 * at + 2, rows[~left])]
         return node
 
 
 def _sums(bins: np.ndarray, node: np.ndarray, open_nodes: list[int], both: np.ndarray, n_bins: int) -> np.ndarray:
     """Derivatives by open node, feature, bin and output; the second ones behind the first ones."""
-    place = np.full(max(open_nodes) + 1, -1)
+    place = np.full(max(int(node.max(initial=0)), *open_nodes) + 1, -1)
     place[open_nodes] = np.arange(len(open_nodes))
-    at = np.where(node < len(place), place[np.minimum(node, len(place) - 1)], -1)
+    at = place[node]
     rows = np.flatnonzero(at >= 0)
-    base, size = at[rows] * n_bins, len(open_nodes) * n_bins
-    out = np.empty((len(open_nodes), bins.shape[1], n_bins, both.shape[1]))
-    for f in range(bins.shape[1]):
-        key = base + bins[rows, f]
-        for c in range(both.shape[1]):
-            out[:, f, :, c] = np.bincount(key, both[rows, c], size).reshape(-1, n_bins)
+    if len(rows) < len(at):
+        at, bins, both = at[rows], bins[:, rows], both[:, rows]
+    base, size = at * n_bins, len(open_nodes) * n_bins
+    out = np.empty((len(open_nodes), len(bins), n_bins, len(both)))
+    for f, column in enumerate(bins):
+        key = base + column
+        for c, weights in enumerate(both):
+            out[:, f, :, c] = np.bincount(key, weights, size).reshape(-1, n_bins)
     return out
 
 
@@ -106,9 +117,9 @@ def best_cuts(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class _Rows:
-    """Binned training rows as blocks: bins, labels and margins as bytes."""
+    """Binned training rows as blocks: bins by feature, labels, and margins by output, as bytes."""
 
-    def __init__(self, data: DataFrame, cuts: list[np.ndarray], outputs: int):
+    def __init__(self, data: DataFrame, cuts: list[np.ndarray], outputs: int, count: int):
         self.width, self.outputs, self.n_bins = len(cuts), outputs, max([len(c) for c in cuts], default=0) + 1
         self.kind = "u1" if self.n_bins <= 256 else "u2"
         kind, width = self.kind, self.width
@@ -117,8 +128,8 @@ class _Rows:
             for batch in batches:
                 flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
                 labels = batch.column(1).to_numpy().astype("<i4")
-                bins = np.stack([np.searchsorted(c, flat[:, f]) for f, c in enumerate(cuts)], axis=1).astype(kind)
-                blocks = [(bins[a : a + BLOCK_ROWS], labels[a : a + BLOCK_ROWS]) for a in range(0, len(labels), BLOCK_ROWS)]
+                bins = np.stack([np.searchsorted(c, flat[:, f]).astype(kind) for f, c in enumerate(cuts)])
+                blocks = [(bins[:, a : a + BLOCK_ROWS], labels[a : a + BLOCK_ROWS]) for a in range(0, len(labels), BLOCK_ROWS)]
                 cells = [
                     pa.array([b.tobytes() for b, _ in blocks], pa.binary()),
                     pa.array([y.tobytes() for _, y in blocks], pa.binary()),
@@ -126,7 +137,8 @@ class _Rows:
                 ]
                 yield pa.RecordBatch.from_arrays(cells, ["bins", "labels", "margins"])
 
-        self.parts = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        cores = data.sparkSession.sparkContext.defaultParallelism
+        self.parts = max(-(-count // TASK_ROWS), min(-(-count // BLOCK_ROWS), cores))
         table = data.mapInArrow(binned, "bins binary, labels binary, margins binary").repartition(self.parts)
         self.round = 0
         self.table = self._kept(table)
@@ -139,12 +151,13 @@ class _Rows:
 
     def _blocks(self, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for batch in batches:
-            for bins, labels, margins in zip(*(c.to_pylist() for c in batch.columns)):
+            for cells in zip(*batch.columns):
+                bins, labels, margins = (c.as_buffer() for c in cells)
                 found = np.frombuffer(labels, "<i4")
                 yield (
-                    np.frombuffer(bins, self.kind).reshape(len(found), self.width),
+                    np.frombuffer(bins, self.kind).reshape(self.width, len(found)),
                     found,
-                    np.frombuffer(margins).reshape(len(found), self.outputs),
+                    np.frombuffer(margins).reshape(self.outputs, len(found)),
                 )
 
     def _own(self) -> _Rows:
@@ -155,11 +168,11 @@ class _Rows:
 
     def add(self, tree: Tree) -> None:
         """Move the margins on by a tree; the pass itself runs with the next level."""
-        own = self._own()
+        own, values = self._own(), np.ascontiguousarray(tree.value.T)
 
         def moved(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                new = [(m + tree.value[tree.leaf(b, tree.cut)]).tobytes() for b, _, m in own._blocks([batch])]
+                new = [(m + values[:, tree.leaf(b, tree.cut)]).tobytes() for b, _, m in own._blocks([batch])]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(new, pa.binary())], ["bins", "labels", "margins"])
 
         self.round += 1
@@ -180,9 +193,8 @@ class _Rows:
         def summed(batches: Iterable[pa.RecordBatch]) -> np.ndarray | None:
             total = None
             for bins, labels, margins in own._blocks(batches):
-                both = np.concatenate(derivatives(margins, labels), axis=1)
-                part = _sums(bins, tree.leaf(bins, tree.cut), open_nodes, both, own.n_bins)
-                total = part if total is None else total + part
+                part = _sums(bins, tree.leaf(bins, tree.cut), open_nodes, derivatives(margins, labels), own.n_bins)
+                total = part if total is None else np.add(total, part, out=total)
             return total
 
         if self.parts * 8 * int(np.prod(shape)) <= DRIVER_BYTES:
@@ -292,8 +304,8 @@ class BoostedTreesModel(Model, _Settings, DefaultParamsReadable, DefaultParamsWr
         def margins(features: pd.Series) -> pd.Series:
             if not len(features):
                 return pd.Series([], dtype=object)
-            x = np.stack(features.to_numpy())
-            total = np.zeros((len(x), outputs))
+            x = np.ascontiguousarray(np.stack(features.to_numpy()).T)
+            total = np.zeros((x.shape[1], outputs))
             for tree in forest:
                 total += tree.value[tree.leaf(x, tree.threshold)]
             return pd.Series(list(total))
@@ -338,7 +350,7 @@ class BoostedTrees(Estimator, _Settings, HasMaxIter, HasStepSize, DefaultParamsR
         ensure_checkpoint_dir(dataset.sparkSession)
         x = vector_to_array(F.col(self.getFeaturesCol())).alias("x")
         data = dataset.select(x, F.col(self.getLabelCol()).cast("int").alias("y"))
-        shape = data.agg(F.max("y").alias("last"), F.max(F.size("x")).alias("width")).first()
+        shape = data.agg(F.max("y").alias("last"), F.max(F.size("x")).alias("width"), F.count("y").alias("rows")).first()
         if shape["last"] is None:
             raise ValueError("no rows to train on")
         outputs = shape["last"] + 1 if shape["last"] > 1 else 1
@@ -348,7 +360,7 @@ class BoostedTrees(Estimator, _Settings, HasMaxIter, HasStepSize, DefaultParamsR
         wide = data.select(*(F.col("x")[i].alias(n) for i, n in enumerate(names)))
         found = approx_quantiles(wide, names, probs, 1 / (4 * bins))
         cuts = [np.unique(found[n]) if found[n] else np.zeros(0) for n in names]
-        rows = _Rows(data, cuts, outputs)
+        rows = _Rows(data, cuts, outputs, shape["rows"])
         depth, trees = self.getOrDefault(self.maxDepth), []
         for number in range(self.getMaxIter()):
             tree = _grown(rows, cuts, depth, self.getStepSize())

@@ -104,3 +104,23 @@ def test_odd_training_rows(spark):
     one = models.fit_classifier("Boosted Trees (deep)", df.where("y = 1"), ["b"], "y", models.BINARY, settings={"maxIter": 2})
     assert {r["predicted_label"] for r in models.score(one, df.where("b is not null"), ["id"]).collect()} == {"1"}
     assert models.score(model, df.limit(0), ["id"]).count() == 0
+
+
+def test_tasks_follow_the_rows(spark, noisy, monkeypatch):
+    x, y = noisy
+    parts, plain_init = [], boosting._Rows.__init__
+
+    def noted(self, *args):
+        plain_init(self, *args)
+        parts.append(self.parts)
+
+    monkeypatch.setattr(boosting._Rows, "__init__", noted)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        for most in (2**20, 100):
+            monkeypatch.setattr(boosting, "TASK_ROWS", most, raising=False)
+            models.fit_classifier("Boosted Trees (deep)", frame(spark, x, y), ["a"], "y", models.MULTICLASS, settings={"maxIter": 1, "maxDepth": 1})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert parts == [1, 4]
