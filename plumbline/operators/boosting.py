@@ -141,8 +141,9 @@ class _Rows:
         self.parts = max(-(-count // TASK_ROWS), min(-(-count // BLOCK_ROWS), cores))
         table = data.mapInArrow(binned, "bins binary, labels binary, margins binary").repartition(self.parts)
         self.round = 0
-        self.table = self._kept(table)
+        self.table = self.held = self._kept(table)
         self.before: DataFrame | None = None
+        self.last, self.known, self.same = None, {}, set()
 
     def _kept(self, table: DataFrame) -> DataFrame:
         if self.round % ROUNDS_PER_CHECKPOINT == 0:
@@ -167,18 +168,55 @@ class _Rows:
         return copy
 
     def add(self, tree: Tree) -> None:
-        """Move the margins on by a tree; the pass itself runs with the next level."""
+        """Move the margins on by a tree. Where they are small, the same pass sums the new derivatives by its leaves.
+
+        A next tree that begins with the same cuts then needs no pass of its own for these nodes.
+        """
         own, values = self._own(), np.ascontiguousarray(tree.value.T)
+        inner = [int(n) for n in np.flatnonzero(tree.feature >= 0)]
+        leaves = [n for n in (0, *(2 * i + side for i in inner for side in (1, 2))) if tree.feature[n] < 0]
+        shape = (len(leaves), self.width, self.n_bins, 2 * self.outputs)
+        fused = self.parts * 8 * int(np.prod(shape)) <= DRIVER_BYTES
 
         def moved(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, names = None, ["bins", "labels", "margins", "part", "sums"]
             for batch in batches:
-                new = [(m + values[:, tree.leaf(b, tree.cut)]).tobytes() for b, _, m in own._blocks([batch])]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(new, pa.binary())], ["bins", "labels", "margins"])
+                new = []
+                for bins, labels, margins in own._blocks([batch]):
+                    node = tree.leaf(bins, tree.cut)
+                    margins = margins + values[:, node]
+                    new.append(margins.tobytes())
+                    if fused:
+                        part = _sums(bins, node, leaves, derivatives(margins, labels), own.n_bins)
+                        total = part if total is None else np.add(total, part, out=total)
+                none = [pa.nulls(len(new), pa.int32()), pa.nulls(len(new), pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(new, pa.binary()), *none], names)
+            if total is not None:
+                none = [pa.nulls(1, pa.binary())] * 3
+                cells = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*none, *cells], names)
 
         self.round += 1
         self.free()
-        self.before = self.table
-        self.table = self._kept(self.before.mapInArrow(moved, "bins binary, labels binary, margins binary"))
+        self.before = self.held
+        table = self.table.mapInArrow(moved, "bins binary, labels binary, margins binary, part int, sums binary")
+        self.held = self._kept(table)
+        self.table = self.held.where("sums IS NULL").select("bins", "labels", "margins")
+        self.last, self.known, self.same = tree, {}, {0}
+        if fused:
+            found = sorted(self.held.where("sums IS NOT NULL").select("part", "sums").collect())
+            whole = sum(np.frombuffer(r["sums"]).reshape(shape) for r in found)
+            self.known = dict(zip(leaves, whole))
+            for n in reversed(inner):
+                self.known[n] = self.known[2 * n + 1] + self.known[2 * n + 2]
+            self.free()
+
+    def _known(self, tree: Tree, node: int) -> bool:
+        """Whether the last tree led the same rows to a node, so that their sums are known."""
+        above, last = (node - 1) // 2, self.last
+        if node and above in self.same and (tree.feature[above], tree.cut[above]) == (last.feature[above], last.cut[above]):
+            self.same.add(node)
+        return node in self.same and node in self.known
 
     def free(self) -> None:
         """Let go of the table of the round before, which the present one no longer needs."""
@@ -188,6 +226,15 @@ class _Rows:
 
     def cuts(self, tree: Tree, open_nodes: list[int]) -> dict[tuple[int, int], tuple[float, int, np.ndarray, np.ndarray]]:
         """Best cut of each open node and feature: gain, bin, sums left of it, sums of the node."""
+        done = {n: self.known[n] for n in open_nodes if self._known(tree, n)}
+        open_nodes = [n for n in open_nodes if n not in done]
+        found = self._searched(tree, open_nodes) if open_nodes else {}
+        for n, sums in done.items():
+            found.update({(n, f): cut for f, cut in enumerate(zip(*best_cuts(sums), sums.sum(axis=1)))})
+        return found
+
+    def _searched(self, tree: Tree, open_nodes: list[int]) -> dict[tuple[int, int], tuple[float, int, np.ndarray, np.ndarray]]:
+        """The same by a pass over the rows."""
         own, shape = self._own(), (len(open_nodes), self.width, self.n_bins, 2 * self.outputs)
 
         def summed(batches: Iterable[pa.RecordBatch]) -> np.ndarray | None:
@@ -376,7 +423,7 @@ class BoostedTrees(Estimator, _Settings, HasMaxIter, HasStepSize, DefaultParamsR
             if number + 1 < self.getMaxIter():
                 rows.add(tree)
         rows.free()
-        rows.table.unpersist()
+        rows.held.unpersist()
         model = BoostedTreesModel()
         model._set(
             featuresCol=self.getFeaturesCol(),

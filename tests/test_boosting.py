@@ -124,3 +124,18 @@ def test_tasks_follow_the_rows(spark, noisy, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert parts == [1, 4]
+
+
+def test_rounds_that_cut_alike_read_the_rows_once(spark, monkeypatch):
+    passes, plain_search = [], boosting._Rows._searched
+
+    def noted(self, tree, open_nodes):
+        passes.append(list(open_nodes))
+        return plain_search(self, tree, open_nodes)
+
+    monkeypatch.setattr(boosting._Rows, "_searched", noted)
+    df = spark.range(400).selectExpr("double(id % 20) AS x", "int(id % 20 > 6) + int(id % 20 > 12) AS y")
+    settings = {"maxIter": 4, "maxDepth": 3}
+    model = models.fit_classifier("Boosted Trees (deep)", df, ["x"], "y", models.MULTICLASS, settings=settings)
+    assert models.score(model, df, ["y"]).where("predicted_label = string(y)").count() == 400
+    assert passes[0] == [0] and [0] not in passes[1:] and len(passes) <= 3
