@@ -95,6 +95,22 @@ def _encoders(df: DataFrame, features: Sequence[str]) -> tuple[list[Estimator],
     return stages, [c for c in features if c not in texts] + hot
 
 
+#: Learners that keep their training rows and read them for each level of each tree, and rows of a task for them.
+#: A forest keeps with each row how often each of its trees drew it.
+FORESTS = (RandomForestClassifier, RandomForestRegressor)
+TREES = (*FORESTS, DecisionTreeClassifier, DecisionTreeRegressor, GBTClassifier, GBTRegressor)
+FOREST_TASK_ROWS, TREE_TASK_ROWS, LEAST_TASK_ROWS = 2**18, 2**20, 10_000
+
+
+def _dealt(data: DataFrame, estimator: Estimator) -> DataFrame:
+    """Training rows of a tree learner in parts that follow their number and the cores, not the input's files."""
+    if not isinstance(estimator, TREES):
+        return data
+    rows, cores = data.count(), data.sparkSession.sparkContext.defaultParallelism
+    most = FOREST_TASK_ROWS if isinstance(estimator, FORESTS) else TREE_TASK_ROWS
+    return data.repartition(max(-(-rows // most), min(-(-rows // LEAST_TASK_ROWS), cores), 1))
+
+
 def _prepare(train: DataFrame, stages: Iterable[Estimator | Transformer]) -> tuple[list[Transformer], DataFrame]:
     done, data = [], train
     for stage in stages:
@@ -130,7 +146,7 @@ def fit_classifier(
         stages, data = _prepare(rows, [*encoders, gather])
         index = target_index(data, target, label)
         # The learners keep their own compact copy for the iterations.
-        model = estimator.fit(index.transform(data).select("features", label))
+        model = estimator.fit(_dealt(index.transform(data).select("features", label), estimator))
     decode = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=index.labels)
     return PipelineModel([*stages, model, decode])
 
@@ -159,6 +175,8 @@ def fit_regressor(
         estimator = estimator.setWeightCol("weight")
     with kept(rows):
         stages, data = _prepare(rows, [*encoders, gather])
+        if isinstance(estimator, TREES):
+            data = _dealt(data.select("features", target), estimator)
         model = estimator.fit(data)
     return PipelineModel([*stages, model])
 

@@ -163,3 +163,20 @@ def test_rows_used_are_those_a_model_sees(spark):
     assert train[:] == ("train", 6, 1, 2, 3) and test[:] == ("test", 0, 0, 0, 0)
     fitted = models.fit_classifier("Decision Tree", df, ["v", "t"], "y", models.BINARY)
     assert fitted.transform(df.where("y is not null")).count() == train["n_used"]
+
+
+@pytest.mark.parametrize("name", ["Random Forest", "GBT"])
+def test_tree_learners_read_parts_that_follow_the_rows(spark, monkeypatch, name):
+    parts = []
+
+    def noted(self, dataset):
+        parts.append(dataset.rdd.getNumPartitions())
+        raise RuntimeError("seen")
+
+    monkeypatch.setattr(type(models.CLASSIFIERS[name](models.BINARY)), "_fit", noted)
+    for most in ("FOREST_TASK_ROWS", "TREE_TASK_ROWS"):
+        monkeypatch.setattr(models, most, 100, raising=False)
+    df = spark.range(1000).selectExpr("double(id) AS x", "double(id > 500) AS y").coalesce(1)
+    with pytest.raises(RuntimeError, match="seen"):
+        models.fit_classifier(name, df, ["x"], "y", models.BINARY)
+    assert parts == [10]
