@@ -10,7 +10,6 @@ from typing import Any
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     OneVsRest,
@@ -20,7 +19,6 @@ from pyspark.ml.feature import IndexToString, OneHotEncoder, StringIndexer, Stri
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
-    GBTRegressor,
     GeneralizedLinearRegression,
     IsotonicRegression,
     LinearRegression,
@@ -32,7 +30,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import categorical_columns, named, number
 from plumbline.operators import metrics
-from plumbline.operators.boosting import BoostedTrees
+from plumbline.operators.boosting import LOGISTIC, NEWTON, SQUARED, BoostedTrees
 from plumbline.operators.features import target_index
 from plumbline.plans.keep import kept
 from plumbline.session import ensure_checkpoint_dir
@@ -54,7 +52,9 @@ CLASSIFIERS: dict[str, Callable[[str], Estimator]] = {
     ),
     "Random Forest": lambda task: RandomForestClassifier(numTrees=100, seed=SEED),
     "GBT": lambda task: (
-        BoostedTrees(maxIter=50, maxDepth=5) if task == MULTICLASS else GBTClassifier(maxIter=50, seed=SEED)
+        BoostedTrees(maxIter=50, maxDepth=5)
+        if task == MULTICLASS
+        else BoostedTrees(maxIter=50, maxDepth=5, maxBins=32, lossType=LOGISTIC)
     ),
     "Decision Tree": lambda task: DecisionTreeClassifier(seed=SEED),
     "SVM (Linear)": lambda task: _per_class(LinearSVC(maxIter=100), task),
@@ -64,7 +64,7 @@ REGRESSORS: dict[str, Callable[[], Estimator]] = {
     "Linear Regression": lambda: LinearRegression(maxIter=100, regParam=0.1, elasticNetParam=0.0),
     "Decision Tree Regressor": lambda: DecisionTreeRegressor(maxDepth=5, seed=SEED),
     "Random Forest Regressor": lambda: RandomForestRegressor(numTrees=100, maxDepth=5, seed=SEED),
-    "GBT Regressor": lambda: GBTRegressor(maxIter=50, maxDepth=5, seed=SEED),
+    "GBT Regressor": lambda: BoostedTrees(maxIter=50, maxDepth=5, maxBins=32, lossType=SQUARED),
     "Generalized Linear Regression": lambda: GeneralizedLinearRegression(
         family="gaussian", link="identity", maxIter=100
     ),
@@ -98,13 +98,19 @@ def _encoders(df: DataFrame, features: Sequence[str]) -> tuple[list[Estimator],
 #: Learners that keep their training rows and read them for each level of each tree, and rows of a task for them.
 #: A forest keeps with each row how often each of its trees drew it.
 FORESTS = (RandomForestClassifier, RandomForestRegressor)
-TREES = (*FORESTS, DecisionTreeClassifier, DecisionTreeRegressor, GBTClassifier, GBTRegressor)
+TREES = (*FORESTS, DecisionTreeClassifier, DecisionTreeRegressor)
 FOREST_TASK_ROWS, TREE_TASK_ROWS, LEAST_TASK_ROWS = 2**18, 2**20, 10_000
 
 
+def _reads_often(estimator: Estimator) -> bool:
+    """Whether a learner reads its training rows as they come, for its trees or for the cuts of first-order boosting."""
+    boosted = isinstance(estimator, BoostedTrees) and estimator.getOrDefault("lossType") != NEWTON
+    return boosted or isinstance(estimator, TREES)
+
+
 def _dealt(data: DataFrame, estimator: Estimator) -> DataFrame:
     """Training rows of a tree learner in parts that follow their number and the cores, not the input's files."""
-    if not isinstance(estimator, TREES):
+    if not _reads_often(estimator):
         return data
     rows, cores = data.count(), data.sparkSession.sparkContext.defaultParallelism
     most = FOREST_TASK_ROWS if isinstance(estimator, FORESTS) else TREE_TASK_ROWS
@@ -175,7 +181,7 @@ def fit_regressor(
         estimator = estimator.setWeightCol("weight")
     with kept(rows):
         stages, data = _prepare(rows, [*encoders, gather])
-        if isinstance(estimator, TREES):
+        if _reads_often(estimator):
             data = _dealt(data.select("features", target), estimator)
         model = estimator.fit(data)
     return PipelineModel([*stages, model])
@@ -210,7 +216,7 @@ def evaluate_regressor(model: PipelineModel, test: DataFrame, target: str) -> Da
 
 
 #: Models that are trained at the same time.
-CONCURRENT_MODELS = 4
+CONCURRENT_MODELS = 6
 
 
 def _collect_results(

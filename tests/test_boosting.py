@@ -139,3 +139,48 @@ def test_rounds_that_cut_alike_read_the_rows_once(spark, monkeypatch):
     model = models.fit_classifier("Boosted Trees (deep)", df, ["x"], "y", models.MULTICLASS, settings=settings)
     assert models.score(model, df, ["y"]).where("predicted_label = string(y)").count() == 400
     assert passes[0] == [0] and [0] not in passes[1:] and len(passes) <= 3
+
+
+@pytest.mark.parametrize("classes", [True, False])
+def test_first_order_boosting_as_spark_ml(spark, noisy, classes):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    x, y = noisy
+    y = np.minimum(y, 1) if classes else y * 100 + np.arange(400) % 7
+    df = frame(spark, x, y).repartition(3)
+    vectors = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df)
+    learner = (GBTClassifier if classes else GBTRegressor)(maxIter=6, maxDepth=3, seed=42, labelCol="y")
+    given = dict(maxIter=6, maxDepth=3, maxBins=32)
+    boosted = boosting.BoostedTrees(**given, lossType="logistic" if classes else "squared").setLabelCol("y").setFeaturesCol("features")
+    columns = ["rawPrediction", "probability", "prediction"] if classes else ["prediction"]
+    # Values between those of the training rows too.
+    more = vectors.unionByName(VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df.selectExpr("id + 400 AS id", "a + 0.4 AS a", "b - 0.4 AS b", "c + 0.6 AS c", "y")))
+    ours, theirs = (e.fit(vectors).transform(more).orderBy("id").select(*columns).collect() for e in (boosted, learner))
+    for a, b in zip(ours, theirs):
+        assert np.allclose(np.hstack([*a]), np.hstack([*b]), rtol=1e-9, atol=1e-9)
+
+
+def test_trees_of_least_squares_take_few_passes(spark, monkeypatch):
+    passes, plain_search = [], boosting._Rows._searched
+
+    def noted(self, tree, open_nodes):
+        passes.append(list(open_nodes))
+        return plain_search(self, tree, open_nodes)
+
+    monkeypatch.setattr(boosting._Rows, "_searched", noted)
+    df = spark.range(1000).selectExpr("double(id % 7) AS x", "double(id % 11) AS z", "double(id % 7 > 2) AS y", "double(id % 7 * (id % 7)) AS n")
+    model = models.fit_classifier("GBT", df, ["x", "z"], "y", models.BINARY)
+    assert models.score(model, df, ["y"]).where("prediction = y").count() == 1000
+    assert passes == [[0], [1, 2]]
+    passes.clear()
+    model = models.fit_regressor("GBT Regressor", df, ["x", "z"], "n")
+    assert models.score(model, df, ["n"]).where("abs(prediction - n) < 1e-6").count() == 1000
+    assert passes[0] == [0] and len(passes) < 25
+
+
+def test_few_values_are_cut_halfway_and_rare_ones_too(spark):
+    df = spark.range(20_000).selectExpr("array(double(id % 3), double(id), double(if(id = 7, 50, 1)), double('NaN')) AS x")
+    cuts = boosting._halfway(df.repartition(3), 32)
+    assert {f: c.tolist() for f, c in cuts.items()} == {0: [0.5, 1.5], 2: [25.5]}
