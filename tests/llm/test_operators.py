@@ -435,3 +435,24 @@ def test_licenses_work_follows_the_text_not_their_number(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     got = {r["doc_id"]: (r["license_of_text"], r["licenses"]) for r in license_scan.scan(docs, known).collect()}
     assert got == {0: ("L7", ["L7"]), 1: (None, ["L8"]), 2: (None, [])}
+
+
+def test_pieces_are_held_by_hash_over_slices(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BYTES)
+    encoder, sent, plain = SubwordEncoder(BYTES, cache_pieces=60), [], SubwordEncoder._split_ids
+
+    def noted(self, parts):
+        sent.append(parts)
+        return plain(self, parts)
+
+    monkeypatch.setattr(SubwordEncoder, "_split_ids", noted)
+    slices = [["red fox  12", "", "a\n\n b\tc é"], ["red fox", " fox red 12  "], [" ".join(f"w{i}" for i in range(80))], ["red fox\n"], ["red fox"]]
+    for texts in slices:
+        ids, counts = encoder.encode_flat(texts)
+        wanted = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert counts.tolist() == list(map(len, wanted)) and ids.tolist() == sum(wanted, [])
+        assert (np.diff(encoder.hashes.astype(object)) > 0).all() and not encoder.cache
+    # Only new pieces are encoded, and a full cache is emptied before the next texts.
+    assert [sorted(p) for p in sent[1:]] == [[b" red"], sorted([b"w", *[b" w"], *{str(i).encode() for i in range(80)}]), [b" fox", b"red"]]
