@@ -453,6 +453,27 @@ def test_pieces_are_held_by_hash_over_slices(monkeypatch):
         ids, counts = encoder.encode_flat(texts)
         wanted = [library.encode(t, add_special_tokens=False).ids for t in texts]
         assert counts.tolist() == list(map(len, wanted)) and ids.tolist() == sum(wanted, [])
-        assert (np.diff(encoder.hashes.astype(object)) > 0).all() and not encoder.cache
+        assert (np.diff(encoder.pieces.hashes.astype(object)) > 0).all() and not encoder.cache
     # Only new pieces are encoded, and a full cache is emptied before the next texts.
     assert [sorted(p) for p in sent[1:]] == [[b" red"], sorted([b"w", *[b" w"], *{str(i).encode() for i in range(80)}]), [b" fox", b"red"]]
+
+
+def test_lm_words_are_held_by_hash(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "CACHE_WORDS", 4)
+    held, sent, plain = lm_scoring.Subwords(BYTES), [], SubwordEncoder.encode_flat
+
+    def noted(self, texts):
+        sent.append(sorted(texts))
+        return plain(self, texts)
+
+    monkeypatch.setattr(SubwordEncoder, "encode_flat", noted)
+    end = held.size - 1
+    slices = [["Red  fox", "", "RED"], ["red\tdog fox"], ["", " "], ["It's été <|endoftext|> x"], ["red"]]
+    for texts in slices:
+        ids, sizes = held.sequences(lm_scoring.words_of(texts), end)
+        lower = ["".join(c.lower() if c.isascii() else c for c in t) for t in texts]
+        parts = [[plain(held.encoder, [" " + w])[0].tolist() for w in t.split()] for t in lower]
+        assert ids.tolist() == [i for p in parts for i in [*sum(p, []), end]]
+        assert sizes.tolist() == [sum(map(len, p)) + 1 for p in parts]
+        assert isinstance(held.cache.store, np.ndarray)
+    assert sent == [[" fox", " red"], [" dog"], sorted([" it's", " été", " <|endoftext|>", " x"]), [" red"]]
