@@ -344,6 +344,40 @@ def test_lm_gradient_of_all_windows():
         assert math.isclose(slope, grad[name][place], rel_tol=3e-2, abs_tol=1e-2), name
 
 
+def test_lm_gradient_of_windows_in_a_row(monkeypatch):
+    """Windows that share their halves, in parts, learn what the same windows learn one by one."""
+    monkeypatch.setattr(lm_scoring, "PART", 3)
+    _, end, ids, sizes, model = _start(LM_TEXTS)
+    inputs, depth, targets = lm_scoring.windows(ids, sizes, end)
+    targets.reshape(-1)[len(ids) :] = -1
+    weights, row, alone = (lm_scoring.Weights(model, zero=z) for z in (False, True, True))
+    assert lm_scoring.batch_gradients(weights, model, inputs, depth, targets, row, in_row=True) == len(ids)
+    for w in range(len(inputs)):
+        one = slice(w, w + 1)
+        lm_scoring.batch_gradients(weights, model, inputs[one], depth[one], targets[one], alone)
+    assert np.allclose(row.flat, alone.flat, atol=1e-5) and np.abs(row.flat).max() > 0.1
+    # Weights so large that exponentials would overflow.
+    model.query, model.out = model.query * 300, model.out * 300
+    large = lm_scoring.Weights(model, zero=True)
+    lm_scoring.batch_gradients(lm_scoring.Weights(model), model, inputs, depth, targets, large, in_row=True)
+    assert np.isfinite(large.flat).all() and np.abs(large.bias).max() <= len(ids)
+
+
+def test_lm_adam_moves_by_the_rule():
+    _, end, ids, sizes, model = _start(LM_TEXTS)
+    inputs, depth, targets = lm_scoring.windows(ids, sizes, end)
+    adam, want = lm_scoring.Adam(model, 1e-6), lm_scoring.Weights(model).flat.astype(np.float64)
+    first, second = np.zeros_like(want), np.zeros_like(want)
+    for step in (1, 2, 3):
+        n = adam.learn(inputs, depth, targets, in_row=True)
+        grad = adam.grad.flat.astype(np.float64) / n
+        first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
+        want -= 0.01 * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
+        adam.move(n, 0.01)
+        assert np.allclose(adam.weights.flat, want, atol=1e-4)
+    assert np.array_equal(lm_scoring.Weights(adam.moved()).flat, adam.weights.flat)
+
+
 def test_lm_round_averages_what_tasks_learn(spark):
     texts = [f"{a} {b} and {a}" * (1 + i % 5) for i, (a, b) in enumerate(zip("red green blue " * 40, "cat dog bird " * 40))]
     held, end, ids, sizes, model = _start(texts)
