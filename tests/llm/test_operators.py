@@ -131,6 +131,84 @@ def test_language_held_out(spark, folder, odd, empty):
     assert {r["lang_pred"] for r in nothing} == {"und"}
 
 
+def _kneser_ney(texts):
+    """Chance of each n-gram and weight of the order below each context, counted over all texts."""
+    full = collections.Counter()
+    for text in texts:
+        for word in language_id.words_of(text):
+            symbols = "\x01" * (language_id.ORDER - 1) + word + "\x02"
+            full.update(symbols[i : i + language_id.ORDER] for i in range(len(symbols) - language_id.ORDER + 1))
+    chance, rest, counts = {}, {}, full
+    for n in range(language_id.ORDER, 0, -1):
+        once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+        off = min(0.95, max(0.1, once / max(1, once + 2 * twice)))
+        total, kinds = collections.Counter(), collections.Counter()
+        for gram, c in counts.items():
+            total[gram[:-1]] += c
+            kinds[gram[:-1]] += 1
+        chance.update({gram: (c - off) / total[gram[:-1]] for gram, c in counts.items()})
+        rest.update({context: off * kinds[context] / total[context] for context in total})
+        counts = collections.Counter(gram[1:] for gram in counts)
+    return chance, rest
+
+
+def _kneser_ney_bits(chance, rest, word):
+    symbols, bits = "\x01" * (language_id.ORDER - 1) + word + "\x02", 0.0
+    for i in range(language_id.ORDER, len(symbols) + 1):
+        p = 1e-5
+        for n in range(1, language_id.ORDER + 1):
+            gram = symbols[i - n : i]
+            p = chance.get(gram, 0.0) + rest.get(gram[:-1], 1.0) * p
+        bits -= np.log2(p)
+    return bits
+
+
+def _spelled(number):
+    return "".join(chr(97 + int(d)) for d in str(number * 7919))
+
+
+def test_language_learns_from_every_labelled_document(spark):
+    texts = {
+        "aa": [f"{_spelled(i)} {_spelled(i % 50)} ab" for i in range(2_000)],
+        "bb": [f"{_spelled(i)[::-1]}xyz" + " zz" * (i % 3) for i in range(1_500)],
+    }
+    texts["bb"][700] += " qqqqqqqq wwwwww qkwk"  # the one text far from the others
+    rows = [(lang, text) for lang, held in texts.items() for text in held] + [("aa", None), (None, "zzz"), ("cc", "12 !")]
+    models = language_id.learn(spark.createDataFrame(rows, "lang string, text string").repartition(4))
+    assert models.languages == ["aa", "bb"]
+    brute = [_kneser_ney(texts[lang]) for lang in models.languages]
+    words = sorted({w for held in texts.values() for t in held for w in language_id.words_of(t)}) + ["unseen", "é"]
+    expected = np.array([[_kneser_ney_bits(*tables, w) for tables in brute] for w in words])
+    np.testing.assert_allclose(models.bits(words), expected, rtol=1e-5)
+    spelled = dict(zip(words, expected))
+    for i, lang in enumerate(models.languages):
+        over = []
+        for text in texts[lang]:
+            held = language_id.words_of(text)
+            letters = sum(map(len, held))
+            over.append(min(sum(spelled[w] for w in held)) / (letters + len(held)) - language_id.SHORT_MARGIN / letters)
+        assert models.bounds[i] == pytest.approx(np.quantile(over, language_id.CALIBRATED) + language_id.MARGIN, abs=2e-3)
+
+
+def test_language_models_of_bounded_size_keep_the_mass(spark):
+    texts = [f"{_spelled(i)} {_spelled(i % 50)} ab" for i in range(500)]
+    rows = spark.createDataFrame([("aa", t) for t in texts], "label string, text string")
+    whole, small = language_id.fit(rows), language_id.fit(rows, model_cells=400)
+    assert len(small.keys) < len(whole.keys) / 2 and len(small.keys) < 800
+    words = ["\x01" * (language_id.ORDER - 1) + w + "\x02" for t in texts for w in language_id.words_of(t)]
+    symbols = sorted(set("".join(words)) - {"\x01"})
+
+    def rows_of(models, grams):
+        codes = [np.array([ord(g[-1 - n]) for g in grams], np.uint64) for n in range(len(grams[0]))]
+        return models._rows(language_id._hashes(codes)[-1] if codes else np.zeros(len(grams), np.uint64))
+
+    for models in (whole, small):
+        for n in range(language_id.ORDER):
+            contexts = sorted({w[i - n : i] for w in words for i in range(language_id.ORDER - 1, len(w))})
+            shares = sum(models.chance[rows_of(models, [c + s for c in contexts]), 0].astype(float) for s in symbols)
+            np.testing.assert_allclose(shares + models.back_off[rows_of(models, contexts), 0], 1, atol=1e-6)
+
+
 def _shingles(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
