@@ -51,6 +51,8 @@ CALIBRATED, DECIMALS = 0.999, 3
 MARGIN, SHORT_MARGIN = 2.0, 60.0
 #: Words that a task keeps the bits of, and words that it counts before it hands on their n-grams.
 CACHE_WORDS, COUNTED_WORDS = 300_000, 100_000
+#: Words whose n-grams are in memory at once, some 20 MB of numbers.
+PART_WORDS = 16_384
 _WORD = re.compile(r"[^\W\d_]+")
 #: Symbols that begin and end a word; no letter has these codes.
 BEGIN, END = 1, 2
@@ -181,10 +183,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Labels and texts become the n-grams of ORDER symbols in them; no count is lost, some n-grams come several times."""
 
     def out(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-        for label, words in held.items():
-            if words:
-                codes, begins = _symbols(list(words))
-                weight = np.repeat(np.fromiter(words.values(), np.int64), np.diff(np.r_[begins, len(codes)]))
+        for label, counts in held.items():
+            words = sorted(counts)  # words with the same beginning share n-grams
+            for begin in range(0, len(words), PART_WORDS):
+                part = words[begin : begin + PART_WORDS]
+                codes, begins = _symbols(part)
+                weight = np.repeat(np.array([counts[w] for w in part]), np.diff(np.r_[begins, len(codes)]))
                 backs = _backs(codes, begins)
                 _, first, inverse = np.unique(_hashes(backs)[ORDER], return_index=True, return_inverse=True)
                 cells = [pa.array(back[first].astype(np.int32)) for back in reversed(backs)]
